@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import held_out, read
 
 #: Distinct texts of a label that are sampled, and characters taken of each.
-SAMPLE_TEXTS = 96
+SAMPLE_TEXTS = 128
 SAMPLE_CHARS = 1500
 #: Texts are compressed this many bytes at a time, so that a long text keeps leaning on the dictionary.
 PIECE = 4096
-LEVEL = 1
+LEVEL = 6
 MIN_MARGIN = 0.01
 #: The margin at which the score is 1 - 1/e.
 MARGIN_SCALE = 0.05
