@@ -148,6 +148,25 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, budget: float = BUDGET,
     return out.select("doc_id", "source", F.col("key").alias("text_key"), "size", "source_size", "target", F.when(F.col("size") == 0, F.least(copies, F.lit(1).cast("bigint"))).otherwise(copies).alias("copies"))
 
 
+def apply(docs: DataFrame, **settings) -> DataFrame:
+    """docs with every row as often as the mix takes it."""
+    taken = mix(docs.select("doc_id", "source", "text"), **settings)
+    taken = taken.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    taken = kept(taken.filter("_copies > 0").toDF("_doc", "_source", "text_key", "_copies", "_rows"))
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    same = [keyed.text_key == taken.text_key, keyed.doc_id.eqNullSafe(taken._doc), keyed.source.eqNullSafe(taken._source)]
+
+    def times(rows: DataFrame, once: bool) -> DataFrame:
+        met = keyed.join(rows, same)
+        met = met.select(*[keyed[c] for c in docs.columns], "_copies")
+        met = met if once else met.dropDuplicates(["doc_id", "source", "text"])
+        return met.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).drop("_k", "_copies")
+
+    out = times(taken.filter("_rows = 1"), True)
+    again = taken.filter("_rows > 1")
+    return out if again.isEmpty() else out.unionByName(times(again, False))
+
+
 def op7_mixing(spark, sf_dir) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -249,13 +249,33 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
         for batch in batches:
             for part in parts(batch, at):
                 rows = c.encode_many([t or "" for t in part.column(at).to_pylist()])
-                cols = [pa.array([r[k].tolist() for r in rows], pa.list_(kind)) for k, kind in ((0, pa.int32()), (1, pa.int64()), (2, pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *cols, pa.array([c.decode(r[0]) for r in rows], pa.string())], names=[*part.schema.names, "ids", "begins", "ends", "decoded"])
+                offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]).astype(kind))) for k, kind in ((0, np.int32), (1, np.int64), (2, np.int64))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists, pa.array([c.decode(r[0]) for r in rows], pa.string())], names=[*part.schema.names, "ids", "begins", "ends", "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
     return out.mapInArrow(run, schema + ", ids array<int>, begins array<bigint>, ends array<bigint>, decoded string")
 
 
+def token_ids(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
+    """docs without their text, with n_tokens bigint and ids array<int>."""
+    rest = [c for c in docs.columns if c not in (text, "n_tokens", "ids")]
+    src = docs.select(*rest, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model_file)
+        for batch in batches:
+            for part in parts(batch, len(rest)):
+                rows = c.encode_many([t or "" for t in part.column(len(rest)).to_pylist()])
+                lens = np.array([len(r[0]) for r in rows], np.int64)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32))
+                ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[0] for r in rows])))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(lens), ids], names=[*rest, "n_tokens", "ids"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
+    return src.mapInArrow(run, (schema + ", " if rest else "") + "n_tokens bigint, ids array<int>")
+
+
 def parts(batch: pa.RecordBatch, at: int, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about chunk characters of column at each, one row at least."""
     sizes = batch.column(at).cast(pa.large_binary() if pa.types.is_large_string(batch.column(at).type) else pa.binary())
