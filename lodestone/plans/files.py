@@ -41,7 +41,7 @@ def _custom(spark, sf):
 
 def _orders(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_totalprice").alias("size"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("modified"), F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("extension"))
-    key = F.col("path").cast("bigint")
+    key = F.col("path").try_cast("bigint")
     now = o.filter(key % 97 != 0).withColumn("size", F.when(key % 89 == 0, F.col("size") + 1).otherwise(F.col("size")))
     more = o.filter(key % 101 == 0).withColumn("path", F.concat(F.lit("new"), F.col("path")))
     return o, now.unionByName(more)
