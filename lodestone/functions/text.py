@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Patterns of personal data and what stands for them, in the order they are applied.
 MASKS = (
@@ -35,11 +36,10 @@ def collapse(text: Column) -> Column:
 def normalise(text: Column) -> Column:
     """NFC, collapsed blanks, Latin letters in lower case. Only texts with marks to compose leave the JVM's own functions."""
     lower = F.lower(collapse(text))
-    return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), lower).otherwise(_normalise(text))
+    return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), lower).otherwise(F.pandas_udf(_normal_forms, T.StringType())(text))
 
 
-@F.pandas_udf("string")
-def _normalise(texts: pd.Series) -> pd.Series:
+def _normal_forms(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         if t is None:
             return None

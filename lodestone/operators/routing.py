@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Beginnings of commit subjects.
 COMMIT = ("feat:", "fix:", "chore:", "docs:", "refactor:", "test:", "ci:", "style:", "perf:")
@@ -45,22 +48,19 @@ def entropies(docs: DataFrame) -> DataFrame:
     return docs.select("doc", _entropy(F.col("content")).alias("entropy"))
 
 
-def _entropy(content: Column) -> Column:
-    import numpy as np
-    import pandas as pd
+def _bits(texts: pd.Series) -> pd.Series:
+    def one(t: str | None) -> float:
+        if not t:
+            return 0.0
+        n = np.bincount(np.frombuffer(t.encode(), np.uint8))
+        p = n[n > 0] / n.sum()
+        return float(-(p * np.log2(p)).sum()) + 0.0
 
-    @F.pandas_udf("double")
-    def bits(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> float:
-            if not t:
-                return 0.0
-            n = np.bincount(np.frombuffer(t.encode(), np.uint8))
-            p = n[n > 0] / n.sum()
-            return float(-(p * np.log2(p)).sum()) + 0.0
+    return texts.map(one).astype("float64")
 
-        return texts.map(one).astype("float64")
 
-    return bits(content)
+def _entropy(content: Column) -> Column:
+    return F.pandas_udf(_bits, T.DoubleType())(content)
 
 
 def route(docs: DataFrame) -> DataFrame:
