@@ -14,7 +14,7 @@ def from_csv(spark: SparkSession, path: str, group: str) -> DataFrame:
     if not {"id", "aliases"} <= set(rows.columns):
         raise ValueError("a registry needs the columns id and aliases")
     extra = [F.col(c) for c in rows.columns if c not in ("id", "aliases")]
-    aliases = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), r"\|"), F.trim), lambda a: a != "")
+    aliases = F.filter(F.transform(F.split(F.coalesce("aliases", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda a: a != "")
     id_ = F.when(F.coalesce(F.trim("id"), F.lit("")) != "", F.trim("id")).otherwise(F.raise_error(F.lit("blank id")))
     packed = F.to_json(F.struct(*extra)) if extra else F.lit("{}")
     return rows.select(F.lit(group).alias("group"), id_.alias("id"), aliases.alias("aliases"), packed.alias("extra"))

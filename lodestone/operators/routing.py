@@ -22,7 +22,7 @@ def _has(text: Column, *parts: str) -> Column:
 
 def commit_log(lower: Column) -> Column:
     """Whether a third of the first ten lines start like commits."""
-    lines = F.transform(F.slice(F.split(lower, "\n"), 1, 10), F.trim)
+    lines = F.transform(F.slice(F.split(lower, "\n"), 1, 10), lambda x: F.trim(x))
     votes = F.aggregate(
         lines,
         F.lit(0),
