@@ -65,7 +65,7 @@ def _entropy(content: Column) -> Column:
 
 def route(docs: DataFrame) -> DataFrame:
     """doc, mode: safe, aggressive or default for (doc, content)."""
-    mode = F.when(F.octet_length("content") < 100, "default").when(high_risk(F.col("content")), "safe").when(_entropy(F.col("content")) < 2.5, "aggressive").otherwise("default")
+    mode = F.when(F.coalesce(F.octet_length("content"), F.lit(0)) < 100, "default").when(high_risk(F.col("content")), "safe").when(_entropy(F.col("content")) < 2.5, "aggressive").otherwise("default")
     return docs.select("doc", mode.alias("mode"))
 
 
