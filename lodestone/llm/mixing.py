@@ -152,9 +152,9 @@ def apply(docs: DataFrame, **settings) -> DataFrame:
     """docs with every row as often as the mix takes it."""
     taken = mix(docs.select("doc_id", "source", "text"), **settings)
     taken = taken.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = kept(taken.filter("_copies > 0").toDF("_doc", "_source", "text_key", "_copies", "_rows"))
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    same = [keyed.text_key == taken.text_key, keyed.doc_id.eqNullSafe(taken._doc), keyed.source.eqNullSafe(taken._source)]
+    taken = kept(taken.filter("_copies > 0").toDF("_doc", "_source", "_key", "_copies", "_rows"))
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    same = [keyed._text_key == taken._key, keyed.doc_id.eqNullSafe(taken._doc), keyed.source.eqNullSafe(taken._source)]
 
     def times(rows: DataFrame, once: bool) -> DataFrame:
         met = keyed.join(rows, same)
