@@ -94,7 +94,8 @@ class Codec:
         self.plain_width = np.array([len(t) for t in self.surface], np.int64)
         self.cache: dict[str, bytes] = {}
         digits = [f"{i},".encode() for i in range(len(text))]
-        self.digits = np.frombuffer(b"".join(d.ljust(max(map(len, digits)), b"\0") for d in digits), np.uint8).reshape(len(text), -1)
+        width = max(map(len, digits))
+        self.digits = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in digits), np.uint8).reshape(len(text), width)
 
     def listed(self, ids: np.ndarray) -> bytes:
         """The ids as decimal numbers joined by commas."""
