@@ -121,3 +121,36 @@ def integrity(content: Column, extension: Column) -> Column:
 def binary(content: Column, first: int = 8192) -> Column:
     """Whether a zero byte is among the first bytes."""
     return F.hex(F.substring(content, 1, first)).rlike(r"^(..)*00")
+
+#: Kinds of alerts.
+ALERTS = ("NOTE", "TIP", "IMPORTANT", "WARNING", "CAUTION")
+#: Schemes of targets.
+SCHEMES = ("file", "symbol", "search", "context")
+
+
+def strip_ansi(text: Column) -> Column:
+    """A terminal's text without escapes; what a carriage return overwrites is dropped."""
+    plain = F.regexp_replace(text, r"\x1b(\[[0-9;?]*[ -/]*[@-~]|\][^\x07\x1b]*(\x07|\x1b\\)|[@-Z\\-_])", "")
+    return F.regexp_replace(F.regexp_replace(plain, "\r\n", "\n"), "[^\n]*\r", "")
+
+
+def alert(text: Column) -> Column:
+    """The kind of a quoted alert such as > [!NOTE], or null."""
+    return F.nullif(F.upper(F.regexp_extract(text, r"(?i)^\s*>?\s*\[!(" + "|".join(ALERTS) + r")\]", 1)), F.lit(""))
+
+
+def target(uri: Column) -> Column:
+    """struct(scheme, path) of scheme://path with a known scheme and a path, or null."""
+    pattern = "^(" + "|".join(SCHEMES) + ")://(.+)$"
+    return F.when(uri.rlike(pattern), F.struct(F.regexp_extract(uri, pattern, 1).alias("scheme"), F.regexp_extract(uri, pattern, 2).alias("path")))
+
+
+def attribute(text: Column, name: str) -> Column:
+    """The first value of name="..." in text, or ''."""
+    return F.regexp_extract(text, name + '="([^"]*)"', 1)
+
+
+def to_yaml(properties: Column) -> Column:
+    """A map of texts as simple front matter, keys in order."""
+    entries = F.array_sort(F.map_entries(properties))
+    return F.concat(F.lit("---\n"), F.array_join(F.transform(entries, lambda e: F.concat(e.key, F.lit(": "), e.value)), "\n"), F.lit("\n---\n"))

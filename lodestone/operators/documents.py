@@ -48,6 +48,29 @@ def write_table(header: Column, rows: Column) -> Column:
     return F.array_join(F.concat(F.array(line(header), rule), F.transform(rows, line)), "\n")
 
 
+def aligned_table(header: Column, rows: Column) -> Column:
+    """A pipe table whose columns are as wide as their widest cell, three at least."""
+    every = F.concat(F.array(header), rows)
+    n = F.array_max(F.transform(every, lambda r: F.size(r)))
+    width = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.greatest(F.lit(3), F.array_max(F.transform(every, lambda r: F.coalesce(F.octet_length(F.get(r, i)), F.lit(0))))))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(width, lambda w, i: F.rpad(F.coalesce(F.get(r, i), F.lit("")), w, F.lit(" "))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("| "), F.array_join(F.transform(width, lambda w: F.repeat(F.lit("-"), w)), " | "), F.lit(" |"))
+    return F.array_join(F.concat(F.array(line(header), rule), F.transform(rows, lambda r: line(r))), "\n")
+
+
+def csv_lines(header: Column, rows: Column) -> Column:
+    """The table as CSV: cells with a comma, quote or line end are quoted."""
+    quoted = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    return F.array_join(F.transform(F.concat(F.array(header), rows), lambda r: F.array_join(F.transform(r, lambda c: quoted(c)), ",")), "\n")
+
+
+def read_csv(docs: DataFrame, schema: str) -> DataFrame:
+    """doc, pos, row (struct of schema) of the CSV texts of (doc, text) after their headers; a ragged line fails."""
+    lines = F.filter(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n"), lambda x: x != "")
+    rows = docs.select("doc", F.posexplode(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))).alias("pos", "line"))
+    return rows.select("doc", "pos", F.from_csv("line", schema, {"mode": "FAILFAST"}).alias("row"))
+
+
 def front_matter(text: Column) -> Column:
     """struct(yaml, body): the block between a first line --- and the next; without one, yaml is null."""
     t = F.replace(F.regexp_replace(text, "^﻿", ""), F.lit("\r\n"), F.lit("\n"))

@@ -96,3 +96,24 @@ def to_markdown(entries: DataFrame) -> DataFrame:
     rows = entries.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))).alias("r"))
     head = F.concat(F.lit("## "), F.col("group"), F.lit("\n\n| id | aliases |\n| --- | --- |\n"))
     return rows.select("group", F.concat(head, F.array_join(F.transform("r", lambda x: x.l), "\n")).alias("text"))
+
+
+def save(entries: DataFrame, path: str) -> None:
+    """The registry as JSON lines, one group a line, under the current version; from_json reads groups of one document."""
+    group = F.struct(F.col("group").alias("id"), F.transform("e", lambda x: F.struct(x.id.alias("id"), x.aliases.alias("aliases"), x.related.alias("relatedIds"), x.description.alias("description"))).alias("entries"))
+    g = entries.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "aliases", "related", "description"))).alias("e"))
+    g.select(F.lit(VERSION).alias("schemaVersion"), F.array(group).alias("groups")).write.mode("overwrite").json(path)
+
+
+def load_saved(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a registry that save() wrote."""
+    schema = "schemaVersion string, groups array<struct<id:string,entries:array<struct<id:string,aliases:array<string>,relatedIds:array<string>,description:string>>>>"
+    g = spark.read.schema(schema).json(path).select(F.explode("groups").alias("g")).select(F.col("g.id").alias("group"), F.posexplode("g.entries").alias("pos", "e"))
+    return g.select("group", "pos", "e.id", "e.aliases", F.col("e.relatedIds").alias("related"), "e.description")
+
+
+def json_schema(fields: dict[str, dict]) -> dict:
+    """A closed Draft-07 schema of an entry's declared fields (name -> type, required, pattern, enum, min, max)."""
+    names = {"pattern": "pattern", "enum": "enum", "min": "minLength", "max": "maxLength"}
+    props = {k: {"type": f.get("type", "string")} | {names[r]: f[r] for r in names if r in f} for k, f in sorted(fields.items())}
+    return {"$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "additionalProperties": False, "properties": props, "required": sorted(k for k, f in fields.items() if f.get("required"))}

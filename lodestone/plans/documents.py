@@ -89,6 +89,7 @@ ORACLE = {
       WHEN regexp_matches(line, '^\\s*[-*+]\\s+') THEN 'bullet' WHEN regexp_matches(line, '^\\s*[0-9]+[.)]\\s+') THEN 'numbered' WHEN line LIKE '>%' THEN 'quote' WHEN regexp_matches(line, '^(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*$') THEN 'divider'
       WHEN regexp_matches(line, '^\\s*\\|.*\\|\\s*$') THEN 'table_row' ELSE 'paragraph' END AS type, regexp_replace(line, '^\\s*(#{{1,6}}\\s+|[-*+]\\s+\\[[ xX]\\]\\s+|[-*+]\\s+|[0-9]+[.)]\\s+|>\\s?)', '') AS content FROM b)
       SELECT type, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM t GROUP BY 1""",
+    "markdown_write": "SELECT doc_id AS doc, CAST(length(array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))) AS INTEGER) AS n FROM documents",
     "block_diff": """WITH a AS (SELECT doc_id AS doc, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n, text, string_split(text, chr(10)) AS s FROM documents)
       SELECT doc, CAST(n AS INTEGER) AS pos, 'insert' AS op FROM a WHERE doc % 3 = 0 UNION ALL SELECT doc, CAST(n - 1 AS INTEGER), 'delete' FROM a WHERE doc % 3 = 1 AND len(s) > 1 AND trim(s[-1]) <> ''""",
     "front_matter": "SELECT doc_id AS doc, CASE WHEN doc_id % 2 = 0 THEN lang END AS lang, CASE WHEN doc_id % 2 = 0 THEN source END AS source, md5(text) AS body FROM documents",

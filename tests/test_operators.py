@@ -162,3 +162,36 @@ def test_streaming_admission(spark, tmp_path):
     q.stop()
     key = lambda r: (r["session"], r["seq"])
     assert sorted(spark.table("admitted").collect(), key=key) == sorted(admission.admit(df).collect(), key=key)
+
+
+def test_marks(spark):
+    assert one(spark, X.strip_ansi(F.lit("\x1b[31mred\x1b[0m old\rnew"))) == "new"
+    assert one(spark, X.alert(F.lit("> [!warning] x"))) == "WARNING"
+    assert one(spark, X.alert(F.lit("plain"))) is None
+    assert tuple(one(spark, X.target(F.lit("file://a/b")))) == ("file", "a/b")
+    assert one(spark, X.target(F.lit("document://a"))) is None
+    assert one(spark, X.attribute(F.lit('<x color="red" c="1">'), "color")) == "red"
+    assert one(spark, X.to_yaml(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")))) == "---\na: 1\nb: 2\n---\n"
+
+
+def test_table_writers(spark):
+    header, rows = F.array(F.lit("a"), F.lit("long")), F.array(F.array(F.lit('x,"y'), F.lit("1")))
+    assert one(spark, documents.aligned_table(header, rows)) == '| a    | long |\n| ---- | ---- |\n| x,"y | 1    |'
+    assert one(spark, documents.csv_lines(header, rows)) == 'a,long\n"x,""y",1'
+    df = spark.createDataFrame([(1, 'a,b\r\n1,"x,y"\n2,z\n')], "doc int, text string")
+    assert [tuple(r["row"]) for r in documents.read_csv(df, "a int, b string").orderBy("pos").collect()] == [(1, "x,y"), (2, "z")]
+
+
+def test_registry_round_trip(spark, tmp_path):
+    rows = [("g", 0, "report", ["monthly"], ["hello"], "d"), ("g", 1, "hello", [], [], None)]
+    entries = spark.createDataFrame(rows, "group string, pos int, id string, aliases array<string>, related array<string>, description string")
+    registry.save(entries, str(tmp_path / "r"))
+    assert sorted(registry.load_saved(spark, str(tmp_path / "r")).collect()) == sorted(entries.collect())
+    assert registry.json_schema({"id": {"required": True, "max": 3}})["required"] == ["id"]
+    assert registry.broken_relations(entries).count() == 0
+
+
+def test_source_outline(spark):
+    code = spark.createDataFrame([("a.py", "import os\ndef go(x):\n  pass\n"), ("b.rs", "use std::fs;\npub async fn run() {}\nstruct S;")], "path string, content string")
+    assert sorted((r["path"], r["kind"], r["name"], r["line"]) for r in documents.definitions(code).collect()) == [("a.py", "def", "go", 2), ("b.rs", "fn", "run", 2), ("b.rs", "struct", "S", 3)]
+    assert sorted(r["target"] for r in documents.imports(code).collect()) == ["os", "std::fs"]
