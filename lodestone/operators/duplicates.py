@@ -10,8 +10,30 @@ from lodestone.functions import names
 EDGE = 64 * 1024
 
 
+def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
+    """rows whose key others share, with their number n. No group is gathered: counts are summed
+    before they move, and a hot key's rows only stream past its count."""
+    counts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return rows.join(counts, key)
+
+
+def name_members(files: DataFrame, whole: bool = False) -> DataFrame:
+    """by_name in long form: key, path, n. For groups of any size."""
+    key = F.lower("name") if whole else F.lower(names.stem(F.col("name")))
+    return _shared(files.select(key.alias("key"), "path"), ["key"])
+
+
+def content_members(files: DataFrame, edge: int = EDGE) -> DataFrame:
+    """by_content in long form: size, sha256, path, n. For groups of any size."""
+    rows = files.select("path", "size", F.sha2(F.col("content").cast("binary"), 256).alias("sha256")).filter("sha256 is not null")
+    return _shared(rows, ["size", "sha256"])
+
+
 def by_name(files: DataFrame, whole: bool = False) -> DataFrame:
-    """Groups of files of one stem (or whole name), case aside: key, items, n, similarity."""
+    """Groups of files of one stem (or whole name), case aside: key, items, n, similarity.
+
+    A row holds its whole group; name_members() has the same groups without that bound.
+    """
     key = F.lower("name") if whole else F.lower(names.stem(F.col("name")))
     groups = files.groupBy(key.alias("key")).agg(F.array_sort(F.collect_list("path")).alias("items"), F.count(F.lit(1)).alias("n"))
     return groups.filter("n > 1").withColumn("similarity", F.lit(1.0))
@@ -29,7 +51,8 @@ def by_content(files: DataFrame, edge: int = EDGE) -> DataFrame:
 
     Files go by size first, those that share one by partial hash, and the rest by full hash;
     each stage hands on what has a partner. The stages exchange sizes and hashes, never contents:
-    each file carries its two hashes, which are worked out in the scan.
+    each file carries its two hashes, which are worked out in the scan. A row holds its whole
+    group; content_members() has the same groups without that bound.
     """
     hashed = files.select("path", "size", partial_hash(F.col("content"), edge).alias("partial_sha256"), F.sha2(F.col("content").cast("binary"), 256).alias("sha256")).filter("sha256 is not null")
     groups = hashed.groupBy("size", "partial_sha256", "sha256").agg(F.array_sort(F.collect_list("path")).alias("items"), F.count(F.lit(1)).alias("n"))

@@ -150,6 +150,6 @@ def find(files: DataFrame, query: str) -> DataFrame:
     q = parse(query)
     out = q.filters.apply(files)
     for kind in q.duplicates:
-        groups = D.by_content(files) if kind == "content" else D.by_name(files)
-        out = out.join(groups.select(F.explode("items").alias("path")), "path", "left_semi")
+        members = D.content_members(files) if kind == "content" else D.name_members(files)
+        out = out.join(members.select("path"), "path", "left_semi")
     return out

@@ -7,6 +7,8 @@ keeps the best of each task before the exchange.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,22 +28,22 @@ def postings(docs: DataFrame, tokens: Column) -> DataFrame:
 def bm25(docs: DataFrame, tokens: Column, query: list[tuple[str, float]]) -> DataFrame:
     """doc, score of the documents that hold a query term (term, weight); a repeated term adds again.
 
-    The scan keeps (doc, length, counts of the query's terms); the statistics are one aggregate
-    over it. Nothing but hits is shuffled.
+    The scan keeps (doc, length, counts of the query's terms); the statistics are one row of an
+    aggregate over it, read first. Nothing but hits goes further, and nothing is joined.
     """
     terms = sorted({t for t, _ in query})
     t = F.col("t")
     counts = F.array(*[_count(t, w) for w in terms])
     rows = docs.select("doc", tokens.alias("t")).select("doc", F.size("t").alias("length"), counts.alias("tf"))
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), F.array(*[F.count_if(F.col("tf")[i] > 0) for i in range(len(terms))]).alias("df"))
-    weight = {w: sum(x for t2, x in query if t2 == w) for w in terms}
-    hit = rows.filter(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(stats))
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    n, mean = stats["n"], stats["mean"] or 1.0
     score = F.lit(0.0)
     for i, w in enumerate(terms):
-        df, tf = F.col("df")[i], F.col("tf")[i]
-        idf = F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1)
-        score = score + weight[w] * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return hit.select("doc", score.alias("score")).filter("score > 0")
+        weight, df, tf = sum(x for t2, x in query if t2 == w), stats[f"df{i}"], F.col("tf")[i]
+        idf = math.log((n - df + 0.5) / (df + 0.5) + 1)
+        score = score + weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
+    hits = rows.filter(F.exists("tf", lambda x: x > 0))
+    return hits.select("doc", score.alias("score")).filter("score > 0")
 
 
 def _count(tokens: Column, word: str) -> Column:

@@ -81,6 +81,8 @@ QUERIES = {
     "grep_many": lambda s, d: G.grep(S.of_documents(s, d), PATTERNS, 1),
     "exact_names": lambda s, d: D.by_name(S.of_parts(s, d)),
     "content_duplicates": lambda s, d: D.by_content(S.of_documents(s, d)),
+    "content_members": lambda s, d: D.content_members(S.of_documents(s, d)),
+    "name_members": lambda s, d: D.name_members(S.of_parts(s, d)),
     "content_stage_counts": lambda s, d: D.stage_counts(S.of_documents(s, d)),
     "allowed_duplicates": lambda s, d: D.without_allowed(D.by_content(S.of_documents(s, d)), globs=["src1"]),
     "near_names": lambda s, d: D.near_names(S.of_parts(s, d), threshold=0.6, cap=40),
@@ -118,6 +120,8 @@ ORACLE = {
     "grep_many": _grep_sql(PATTERNS, 1),
     "exact_names": f"SELECT regexp_replace(lower(name), '(.)[.][^.]*$', '\\1') AS key, list_sort(list(path)) AS items, count(*) AS n, CAST(1.0 AS DOUBLE) AS similarity FROM {PARTS} GROUP BY 1 HAVING count(*) > 1",
     "content_duplicates": _GROUPS,
+    "content_members": f"SELECT size, sha256(content) AS sha256, path, n FROM (SELECT *, count(*) OVER (PARTITION BY content) AS n FROM {DOCS}) WHERE n > 1",
+    "name_members": f"SELECT lower(name) AS key, path, n FROM (SELECT *, count(*) OVER (PARTITION BY lower(name)) AS n FROM {PARTS}) WHERE n > 1",
     "content_stage_counts": f"""WITH f AS (SELECT size, content, count(*) OVER (PARTITION BY size) AS ns, count(*) OVER (PARTITION BY content) AS nc FROM {DOCS})
       SELECT count(*) AS files, count(*) FILTER (ns > 1) AS size_candidates, count(*) FILTER (nc > 1) AS partial_candidates, count(*) FILTER (nc > 1) AS full_candidates, CAST(0 AS BIGINT) AS unreadable FROM f""",
     "allowed_duplicates": f"SELECT * FROM ({_GROUPS}) WHERE len(list_filter(items, lambda p: NOT contains(p, 'src1'))) > 0",
