@@ -39,6 +39,9 @@ TERMS = 4_000
 MIN_TEXTS = 4
 MIN_ODDS = 1.5
 MIN_RATIO = 25.0
+#: Clean texts that a phrase around an entry must occur in, and none of label 1, to be an exception; and their number.
+EXCEPTION_TEXTS = 8
+EXCEPTIONS = 1_000
 #: Characters of the beginnings that stand for a family of words.
 STEMS = range(4, 11)
 #: Share of the sample's texts, in thousandths, on which the curve is fitted; the lexicon learns from the rest.
@@ -56,6 +59,11 @@ INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤︀-️﻿]")
 WORD = re.compile(r"[^\W_]+(?:[@$!|+€£]+[^\W_]+)*")
 
 
+_BEFORE = re.compile(r"[^\W_]+ [^\W_]+\Z")
+_AFTER = re.compile(r"[^\W_]+ [^\W_]+")
+_WORD_END = re.compile(r"[^\W_]*")
+
+
 class _Fold(dict):
     """A translation table that works out each character once."""
 
@@ -175,7 +183,31 @@ def fit(rows: DataFrame, exceptions: tuple[str, ...] = (), terms: int = TERMS) -
     found = found.filter(F.col("bad") >= MIN_TEXTS).select("entry", odds.alias("w"), ratio.alias("g"))
     top = found.filter((F.col("w") >= MIN_ODDS) & (F.col("g") >= MIN_RATIO)).orderBy(F.desc("g"), "entry").limit(terms).collect()
     lexicon = Lexicon({r["entry"]: r["w"] for r in top}, exceptions)
-    return Lexicon(lexicon.weights, exceptions, _curve(rows.filter("later").select("text", "y"), lexicon))
+    exceptions = (*exceptions, *_exceptions(rows.filter("not later").select("text", "y"), lexicon))
+    return Lexicon(lexicon.weights, exceptions, _curve(rows.filter("later").select("text", "y"), Lexicon(lexicon.weights, exceptions)))
+
+
+def _exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
+    """Phrases of two words around a match that clean texts have and texts of label 1 don't."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = Matcher(lexicon)
+        for batch in batches:
+            phrase, label = [], []
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folded, found = fold(t)[1], set()
+                for begin, end, _ in m.matches(t):
+                    if before := _BEFORE.search(folded, max(0, begin - 40), end):
+                        found.add(before.group() + _WORD_END.match(folded, end).group())
+                    if after := _AFTER.match(folded, begin):
+                        found.add(after.group())
+                phrase += found
+                label += [y] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.string()), pa.array(label, pa.int32())], names=["phrase", "y"])
+
+    seen = rows.mapInArrow(run, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
+    clean = seen.filter((F.col("bad") == 0) & (F.col("n") >= EXCEPTION_TEXTS)).orderBy(F.desc("n"), "phrase").limit(EXCEPTIONS)
+    return [r["phrase"] for r in clean.collect()]
 
 
 def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:

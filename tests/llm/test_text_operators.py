@@ -240,3 +240,23 @@ def test_licenses(docs, odd, none):
 @pytest.mark.parametrize("text", ["", "only one line.", "\n\n\n"])
 def test_segments(text):
     assert all(text[a:b].strip() == text[a:b] for a, b in licenses.segments(text))
+
+
+def test_exceptions_are_learned(spark):
+    rnd = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    rows, labels = [], []
+    for i in range(800):
+        t = [rnd.choice(words) for _ in range(30)]
+        if i % 4 == 0:
+            t[5:5] = ["blorg"]
+            t[20:20] = ["blorg"]
+        elif i % 16 == 1:
+            t[9:9] = ["saint", "blorg"]
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    lexicon = toxicity.fit(toxicity.sample(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int")))
+    assert "saint blorg" in lexicon.exceptions
+    m = toxicity.Matcher(lexicon)
+    assert m.score(rows[1][1]) < 0.5 < m.score(rows[0][1])
