@@ -40,7 +40,7 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{named.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, eager: bool = True) -> DataFrame:
+def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """df behind a reliable checkpoint in the shared folder: computed once, safe from lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import kept, read
+from lodestone.llm.common import checkpointed, read
 
 CHUNK = 64
 #: Hosts up to which their numbers of pages are broadcast (a few MB).
@@ -316,7 +316,7 @@ def _chunks(chunk: int):
 def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """page_id, url, text, n_chars of pages (page_id, url, html)."""
     df = pages.select(F.col("page_id").cast("bigint"), "url", "html", host(F.col("url")).alias("host"))
-    counts = kept(df.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / (4 * chunk)).alias("blocks")))
+    counts = checkpointed(df.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / (4 * chunk)).alias("blocks")))
     # few hosts are broadcast, so that the pages move once; many are joined
     df = df.join(F.broadcast(counts) if counts.count() <= HOSTS else counts, "host").withColumn("block", F.pmod(F.xxhash64("page_id", "url"), F.col("blocks")))
     dealt = df.select("host", "block", "page_id", "url", "html").repartition("host", "block").sortWithinPartitions("host", "block", F.xxhash64("page_id", "url"))

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, kept, read
+from lodestone.llm.common import WORD, checkpointed, read
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -108,7 +108,7 @@ def pivotal(items: DataFrame, group: list[str], most: int, seed: int = 0, block:
     done = []
     while True:
         gathered = level.groupBy(*group, "_b").agg(F.sort_array(F.collect_list("_i")).alias("items"))
-        folded = kept(gathered.select(*group, "_b", _fold(seed + len(done)).alias("f")))
+        folded = checkpointed(gathered.select(*group, "_b", _fold(seed + len(done)).alias("f")))
         done.append(folded.select(*group, F.explode("f.done").alias("_i")))
         level = folded.filter("f.open is not null").select(*group, F.expr(f"_b div {fan_in}").alias("_b"), F.col("f.open").alias("_i"))
         if blocks == 1:
@@ -130,9 +130,9 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, budget: float = BUDGET,
     """
     sized = sizes(docs).select("doc_id", "source", "size", F.xxhash64("text").alias("key"))
     # equal rows are counted first, so that no key can gather more than its count
-    counted = kept(sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("n")))
+    counted = checkpointed(sized.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("n")))
     single = counted.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("dup")).drop("n")
-    per = kept(targets(counted.select("source", (F.col("size") * F.col("n")).alias("size"), "n").groupBy("source").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).select("source", "size"), weights, budget, max_copies).drop("source_rows"))
+    per = checkpointed(targets(counted.select("source", (F.col("size") * F.col("n")).alias("size"), "n").groupBy("source").agg(F.sum("size").alias("size"), F.sum("n").alias("n")).select("source", "size"), weights, budget, max_copies).drop("source_rows"))
     per = per.withColumnRenamed("source", "_source")
     rows = single.join(per, single.source.eqNullSafe(per._source)).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -152,7 +152,7 @@ def apply(docs: DataFrame, **settings) -> DataFrame:
     """docs with every row as often as the mix takes it."""
     taken = mix(docs.select("doc_id", "source", "text"), **settings)
     taken = taken.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    taken = kept(taken.filter("_copies > 0").toDF("_doc", "_source", "_key", "_copies", "_rows"))
+    taken = checkpointed(taken.filter("_copies > 0").toDF("_doc", "_source", "_key", "_copies", "_rows"))
     keyed = docs.withColumn("_text_key", F.xxhash64("text"))
     same = [keyed._text_key == taken._key, keyed.doc_id.eqNullSafe(taken._doc), keyed.source.eqNullSafe(taken._source)]
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out, kept, read
+from lodestone.llm.common import held_out, checkpointed, read
 
 #: Labelled rows that a fit reads, and entries of the lexicon.
 SAMPLE = 20_000
@@ -168,12 +168,12 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 def fit(rows: DataFrame, exceptions: tuple[str, ...] = (), terms: int = TERMS) -> Lexicon:
     """A lexicon from rows (text string, y int) of bounded number."""
-    rows = kept(rows.select("text", "y", (F.pmod(F.xxhash64("text"), F.lit(1000)) < CURVE_SHARE).alias("later")))
+    rows = checkpointed(rows.select("text", "y", (F.pmod(F.xxhash64("text"), F.lit(1000)) < CURVE_SHARE).alias("later")))
     total = {r["y"]: r["n"] for r in rows.filter("not later").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad:
         return Lexicon({}, exceptions)
-    words = kept(rows.filter("not later").select("text", "y").mapInArrow(_words, "word string, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")))
+    words = checkpointed(rows.filter("not later").select("text", "y").mapInArrow(_words, "word string, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")))
     starts = words.select(F.explode(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEMS])).alias("stem"), "bad", "good").filter("stem is not null")
     families = starts.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     found = words.select(F.col("word").alias("entry"), "bad", "good").unionAll(families.select(F.concat("stem", F.lit("*")), "bad", "good"))
