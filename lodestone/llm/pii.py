@@ -209,7 +209,7 @@ class Field:
             f = shape_features(s)
             zero = np.zeros(len(LABELS))
             got = tuple(sum((self.weights.get(f"{at}:{x}", zero) for x in f), zero) for at in ("here", "before", "after"))
-            if len(self.by_shape) < 100_000:
+            if len(self.by_shape) < 20_000:
                 self.by_shape[s] = got
         return got
 
@@ -219,7 +219,7 @@ class Field:
             s = seen.get(t)
             if s is None:
                 s = shape(t)
-                if len(t) < 40 and len(seen) < 200_000:
+                if len(t) < 40 and len(seen) < 50_000:
                     seen[t] = s
             known.append(self._emissions(s))
         out = np.array([k[0] for k in known])

@@ -31,7 +31,7 @@ from lodestone.llm.common import read
 
 MARK = "▁"
 #: Segments kept in the cache of a Python worker, and the longest text of one.
-CACHE = 500_000
+CACHE = 150_000
 CACHED_CHARS = 48
 #: Rows of an Arrow batch are taken this many characters at a time.
 CHUNK = 1 << 20
