@@ -4,11 +4,14 @@ Pages of one host are read in chunks of at most ``CHUNK``. Every page becomes to
 words, each told apart by the path of elements above it. Tokens with the same vector of
 occurrences over a chunk's pages form an equivalence class; a class is valid if enough pages
 have it and its tokens come in the same order, once per occurrence, on every page. Valid
-classes are nested by the gaps of one another into the host's template. What lies in the gaps of
-the root class and is no template token are the slots; the main container is the deepest
-element that holds most of the slots' text outside boilerplate elements. The text of a page is
-that of its container without the boilerplate elements inside. A page without its host's
-container, or alone in its chunk, is judged by itself in the same way.
+classes are nested by the gaps of one another into the host's template. A block of text (up to
+the next block element) is a token too, so that its words are told from the same words
+elsewhere. What lies in the gaps and is no template block are the slots, whole blocks each; the
+main container is the deepest element that holds most of the slots' text outside boilerplate
+elements. The text of a page is that of the slots in its container, without the boilerplate
+elements inside; where the template would take over half of the container's text, as among near
+copies of one article, which cannot be told from template, the container is kept whole. A page
+without its host's container, or alone in its chunk, is judged by itself in the same way.
 
 Defined results: null or empty html gives an empty text of 0 characters; a null url is a host
 of its own; unclosed and truncated markup is read as far as it goes. Equal pages are deduced
@@ -36,6 +39,8 @@ HOSTS = 100_000
 #: Share of a chunk's pages that have to hold a template token, and tokens of a valid class.
 SUPPORT = 0.6
 CLASS_SIZE = 2
+#: Pages that have to hold a block of the main container before it counts as template: fewer may share a title by chance.
+BLOCK_PAGES = 5
 #: Share of the slots' text that the main container holds.
 MAIN_SHARE = 0.8
 
@@ -63,16 +68,19 @@ _TOKEN = re.compile(
 _MARK_ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORDS = re.compile(r"[^\s_-]+")
 _SPACE = re.compile(r"\s+")
+#: Begins the value of a token that is a whole block.
+BLOCK = "\0"
 
 
 class Page:
-    """tokens: (path, value, is a word, in boilerplate); texts: (path, piece, a block break comes before, in boilerplate)."""
+    """tokens: (path, value, is a word, in boilerplate); texts: (path, piece, a block break comes before, in boilerplate); blocks: each piece's (path, BLOCK + text)."""
 
     def __init__(self, source: str):
         self.tokens: list[tuple[str, str, bool, bool]] = []
         self.texts: list[tuple[str, str, bool, bool]] = []
         stack: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, in boilerplate
         fresh = True
+        begins: list[int] = []  # of each piece, in tokens
 
         def pop_to(k: int) -> None:
             nonlocal fresh
@@ -88,10 +96,12 @@ class Page:
                     _, path, off = stack[-1]
                     piece = _html.unescape(text)
                     self.texts.append((path, piece, fresh, off))
+                    begins.append(len(self.tokens))
                     self.tokens += [(path, w, True, off) for w in piece.split()]
                     fresh = False
                 elif self.texts:
                     self.texts.append((stack[-1][1], " ", fresh, stack[-1][2]))
+                    begins.append(len(self.tokens))
                     fresh = False
                 continue
             if raw:  # its content is no markup, and none is main text
@@ -129,6 +139,23 @@ class Page:
                 stack.append((name, path, off))
             self.tokens.append((path, f"<{name}>", False, off))
         pop_to(1)
+        self._join(begins)
+
+    def _join(self, begins: list[int]) -> None:
+        """Names each piece's block and puts the blocks before their words."""
+        if not self.texts:
+            self.blocks: list[tuple[str, str]] = []
+            return
+        firsts = [k for k, (_, _, fresh, off) in enumerate(self.texts) if not k or fresh or off != self.texts[k - 1][3]]
+        self.blocks = []
+        at: dict[int, tuple[str, str, bool, bool]] = {}
+        for k, end in zip(firsts, [*firsts[1:], len(self.texts)], strict=True):
+            text = _SPACE.sub(" ", "".join(t[1] for t in self.texts[k:end])).strip()
+            key = (self.texts[k][0], BLOCK + text)
+            self.blocks += [key] * (end - k)
+            if text:
+                at[begins[k]] = (*key, False, self.texts[k][3])
+        self.tokens = [t for i, x in enumerate(self.tokens) for t in ((at[i], x) if i in at else (x,))]
 
     def masses(self) -> Counter:
         """Characters of text by path, outside boilerplate."""
@@ -138,18 +165,18 @@ class Page:
                 out[path] += len(piece)
         return out
 
-    def text(self, container: str) -> str | None:
-        """The container's blocks joined by blanks; None if the page has no such element."""
+    def text(self, container: str, template: frozenset = frozenset()) -> str | None:
+        """The container's blocks joined by blanks, without those of a template; None if the page has no such element."""
         blocks: list[list[str]] = []
         there = False
         broken = True
         inside = container + "/"
-        for path, piece, fresh, off in self.texts:
+        for (path, piece, fresh, off), block in zip(self.texts, self.blocks, strict=True):
             if path != container and not path.startswith(inside):
                 broken = True
                 continue
             there = True
-            if off:
+            if off or block in template:
                 broken = True
                 continue
             if fresh or broken:
@@ -178,13 +205,22 @@ class Template:
                 by_vector[tuple(c[token] for c in counts)].add(token)
         self.classes = []
         for vector, members in by_vector.items():
-            order = self._ordered(pages, vector, members) if len(members) >= size else None
+            order = self._ordered(pages, vector, members) if sum(map(self._words, members)) >= size else None
             if order:
                 self.classes.append([vector, order, None, None])
         # the root is on most pages, once; the most tokens decide
         self.classes.sort(key=lambda c: (-sum(x == 1 for x in c[0]), sum(c[0]), -len(c[1])))
         self.members = {t: k for k, c in enumerate(self.classes) for t in c[1]}
         self._nest(pages)
+        # a block of a class that no gap holds is nested alone if it makes a class by itself
+        held = {t: sum(map(bool, c[0])) for k, c in enumerate(self.classes) for t in c[1] if t[1].startswith(BLOCK) and (k == 0 or c[2] is not None or self._words(t) >= size)}
+        self.shared = frozenset(held)
+        self.blocks = frozenset(t for t, n in held.items() if n >= BLOCK_PAGES)
+
+    @staticmethod
+    def _words(token: tuple[str, str]) -> int:
+        """Tokens that a token stands for: a block for its words."""
+        return token[1].count(" ") + 1 if token[1].startswith(BLOCK) else 1
 
     @staticmethod
     def _ordered(pages, vector, members):
@@ -210,22 +246,21 @@ class Template:
         return order
 
     def _nest(self, pages) -> None:
-        """A class's parent is the smallest class before it with all its tokens in one gap of it on the first page."""
-        page = next((p for p in pages), None)
-        if page is None:
-            return
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for i, (p, v, _, _) in enumerate(page.tokens):
-            k = self.members.get((p, v))
-            if k is not None:
-                places[k].append((i, self.classes[k][1].index((p, v))))
+        """A class's parent is the smallest class before it with all its tokens in one gap of it on the first page that has it."""
+        places: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        rank = {t: i for c in self.classes for i, t in enumerate(c[1])}
         for k, c in enumerate(self.classes):
-            if not places[k]:
-                continue
-            lo, hi = places[k][0][0], places[k][-1][0]
+            first = next(i for i, n in enumerate(c[0]) if n)
+            if first not in places:
+                places[first] = defaultdict(list)
+                for i, (p, v, _, _) in enumerate(pages[first].tokens):
+                    if (p, v) in rank:
+                        places[first][self.members[p, v]].append((i, rank[p, v]))
+            here = places[first]
+            lo, hi = here[k][0][0], here[k][-1][0]
             for parent in range(k - 1, -1, -1):
                 gap = None
-                for (i, a), (j, _) in zip(places[parent], places[parent][1:], strict=False):
+                for (i, a), (j, _) in zip(here[parent], here[parent][1:], strict=False):
                     if i < lo and hi < j:
                         gap = a
                         break
@@ -234,11 +269,11 @@ class Template:
                     break
 
     def slots(self, page: Page) -> Counter:
-        """Characters of words that are no template token, by path, outside boilerplate."""
+        """Characters of text outside the blocks that pages share, by path, outside boilerplate."""
         out: Counter = Counter()
-        for p, v, word, off in page.tokens:
-            if word and not off and (p, v) not in self.members:
-                out[p] += len(v) + 1
+        for (path, piece, _, off), block in zip(page.texts, page.blocks, strict=True):
+            if not off and block not in self.shared and not piece.isspace():
+                out[path] += len(piece)
         return out
 
 
@@ -272,7 +307,7 @@ def extract_chunk(sources: list[str]) -> list[str]:
         if s not in parsed:
             parsed[s] = Page(s)
     pages = list(parsed.values())
-    main = ""
+    main, template = "", None
     if len(pages) > 1:
         template = Template(pages)
         total: Counter = Counter()
@@ -282,6 +317,9 @@ def extract_chunk(sources: list[str]) -> list[str]:
     texts = {}
     for s, page in parsed.items():
         got = page.text(main) if main else None
+        if got:
+            slots = page.text(main, template.blocks) or ""
+            got = slots if 2 * len(slots) >= len(got) else got
         texts[s] = got if got else page.text(container(page.masses())) or ""
     return [texts[s] for s in sources]
 
