@@ -7,8 +7,9 @@ have it and its tokens come in the same order, once per occurrence, on every pag
 classes are nested by the gaps of one another into the host's template. A block of text (up to
 the next block element) is a token too, so that its words are told from the same words
 elsewhere. What lies in the gaps and is no template block are the slots, whole blocks each; the
-main container is the deepest element that holds most of the slots' text outside boilerplate
-elements. The text of a page is that of the slots in its container, without the boilerplate
+main container is the deepest element that holds all of the slots' text outside boilerplate
+elements, or the largest article or main. An element that only its class, id or role marks as
+boilerplate is none where it holds most of the slots' text (of that in article or main, if any). The text of a page is that of the slots in its container, without the boilerplate
 elements inside; where the template would take over half of the container's text, as among near
 copies of one article, which cannot be told from template, the container is kept whole. A page
 without its host's container, or alone in its chunk, is judged by itself in the same way.
@@ -41,8 +42,6 @@ SUPPORT = 0.6
 CLASS_SIZE = 2
 #: Pages that have to hold a block of the main container before it counts as template: fewer may share a title by chance.
 BLOCK_PAGES = 5
-#: Share of the slots' text that the main container holds.
-MAIN_SHARE = 0.8
 
 #: Elements that never hold main text, and those that do by their meaning.
 BOILERPLATE = frozenset("head nav footer aside form script style noscript template iframe svg button select textarea object canvas dialog menu".split())
@@ -70,15 +69,20 @@ _WORDS = re.compile(r"[^\s_-]+")
 _SPACE = re.compile(r"\s+")
 #: Begins the value of a token that is a whole block.
 BLOCK = "\0"
+#: The mark of what is boilerplate by its element.
+HARD = "\0hard"
 
 
 class Page:
-    """tokens: (path, value, is a word, in boilerplate); texts: (path, piece, a block break comes before, in boilerplate); blocks: each piece's (path, BLOCK + text)."""
+    """tokens: (path, value, is a word, marks); texts: (path, piece, a block break comes before, marks); blocks: each piece's (path, BLOCK + text).
+
+    Marks are the paths of the elements above that a word marks as boilerplate, and HARD below an element that always is.
+    """
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[str, str, bool, bool]] = []
-        self.texts: list[tuple[str, str, bool, bool]] = []
-        stack: list[tuple[str, str, bool]] = [("", "", False)]  # name, path, in boilerplate
+        self.tokens: list[tuple[str, str, bool, tuple[str, ...]]] = []
+        self.texts: list[tuple[str, str, bool, tuple[str, ...]]] = []
+        stack: list[tuple[str, str, tuple[str, ...]]] = [("", "", ())]  # name, path, marks
         fresh = True
         begins: list[int] = []  # of each piece, in tokens
 
@@ -131,8 +135,11 @@ class Page:
                         break
             _, above, off = stack[-1]
             marks = " ".join(sorted(_WORDS.findall(" ".join(a or b or c for a, b, c in _MARK_ATTR.findall(attrs)).lower()))) if attrs else ""
-            off = off or name in BOILERPLATE or (name == "header" and not any(x in above for x in MAIN)) or (bool(marks) and name not in ("html", "body", *MAIN) and not MARKED.isdisjoint(marks.split()))
             path = f"{above}/{name}{'.' + marks if marks and not any(c.isdigit() for c in marks) else ''}"
+            if name in BOILERPLATE or (name == "header" and not any(x in above for x in MAIN)):
+                off = off if HARD in off else (*off, HARD)
+            elif marks and name not in ("html", "body", *MAIN) and not MARKED.isdisjoint(marks.split()) and path not in off:
+                off = (*off, path)
             if name not in INLINE:
                 fresh = True
             if not attrs.rstrip().endswith("/") or name in MAIN:
@@ -148,7 +155,7 @@ class Page:
             return
         firsts = [k for k, (_, _, fresh, off) in enumerate(self.texts) if not k or fresh or off != self.texts[k - 1][3]]
         self.blocks = []
-        at: dict[int, tuple[str, str, bool, bool]] = {}
+        at: dict[int, tuple[str, str, bool, tuple[str, ...]]] = {}
         for k, end in zip(firsts, [*firsts[1:], len(self.texts)], strict=True):
             text = _SPACE.sub(" ", "".join(t[1] for t in self.texts[k:end])).strip()
             key = (self.texts[k][0], BLOCK + text)
@@ -157,16 +164,16 @@ class Page:
                 at[begins[k]] = (*key, False, self.texts[k][3])
         self.tokens = [t for i, x in enumerate(self.tokens) for t in ((at[i], x) if i in at else (x,))]
 
-    def masses(self) -> Counter:
-        """Characters of text by path, outside boilerplate."""
+    def masses(self, without: frozenset = frozenset()) -> Counter:
+        """Characters of text by (path, marks), but of blocks in without."""
         out: Counter = Counter()
-        for path, piece, _, off in self.texts:
-            if not off:
-                out[path] += len(piece)
+        for (path, piece, _, off), block in zip(self.texts, self.blocks, strict=True):
+            if HARD not in off and block not in without and not piece.isspace():
+                out[path, off] += len(piece)
         return out
 
-    def text(self, container: str, template: frozenset = frozenset()) -> str | None:
-        """The container's blocks joined by blanks, without those of a template; None if the page has no such element."""
+    def text(self, container: str, lifted: frozenset, template: frozenset = frozenset()) -> str | None:
+        """The container's blocks joined by blanks, without those of a template; marks in lifted don't count; None if the page has no such element."""
         blocks: list[list[str]] = []
         there = False
         broken = True
@@ -176,7 +183,7 @@ class Page:
                 broken = True
                 continue
             there = True
-            if off or block in template:
+            if not lifted.issuperset(off) or block in template:
                 broken = True
                 continue
             if fresh or broken:
@@ -269,16 +276,32 @@ class Template:
                     break
 
     def slots(self, page: Page) -> Counter:
-        """Characters of text outside the blocks that pages share, by path, outside boilerplate."""
-        out: Counter = Counter()
-        for (path, piece, _, off), block in zip(page.texts, page.blocks, strict=True):
-            if not off and block not in self.shared and not piece.isspace():
-                out[path] += len(piece)
-        return out
+        """Characters of text outside the blocks that pages share, by (path, marks), outside boilerplate."""
+        return page.masses(self.shared)
+
+
+def _named(path: str) -> set[str]:
+    return {part.split(".")[0] for part in path.split("/")}
+
+
+def judged(masses: Counter) -> tuple[str, frozenset]:
+    """The container of masses by (path, marks), and the marks that hold most of the text of article and main, or of all."""
+    meant = {k: n for k, n in masses.items() if not _named(k[0]).isdisjoint(MAIN)} or masses
+    by_mark: Counter = Counter()
+    for (_, off), n in meant.items():
+        for mark in off:
+            by_mark[mark] += n
+    total = sum(meant.values())
+    lifted = frozenset(m for m, n in by_mark.items() if 2 * n > total)
+    kept: Counter = Counter()
+    for (path, off), n in masses.items():
+        if lifted.issuperset(off):
+            kept[path] += n
+    return container(kept), lifted
 
 
-def container(masses: Counter, share: float = MAIN_SHARE) -> str:
-    """The deepest path that holds share of the text; an element that means main text comes first."""
+def container(masses: Counter) -> str:
+    """The deepest path that holds all of the text; an element that means main text comes first."""
     total = sum(masses.values())
     if not total:
         return ""
@@ -292,7 +315,7 @@ def container(masses: Counter, share: float = MAIN_SHARE) -> str:
         n, p = max(meant, key=lambda x: (x[0], -len(x[1]), x[1]))
         if n >= total * 0.25:
             return p
-    deep = [p for p, n in below.items() if n >= share * total and p.rsplit("/", 1)[-1].split(".")[0] not in INLINE]
+    deep = [p for p, n in below.items() if n >= total and p.rsplit("/", 1)[-1].split(".")[0] not in INLINE]
     found = max(deep, key=lambda p: (p.count("/"), p), default="")
     # a lone paragraph or heading is a part, its parent the container
     while found.rsplit("/", 1)[-1].split(".")[0] in ("p", "h1", "h2", "h3", "li", "blockquote"):
@@ -307,20 +330,20 @@ def extract_chunk(sources: list[str]) -> list[str]:
         if s not in parsed:
             parsed[s] = Page(s)
     pages = list(parsed.values())
-    main, template = "", None
+    main, lifted, template = "", frozenset(), None
     if len(pages) > 1:
         template = Template(pages)
         total: Counter = Counter()
         for page in pages:
             total.update(template.slots(page))
-        main = container(total)
+        main, lifted = judged(total)
     texts = {}
     for s, page in parsed.items():
-        got = page.text(main) if main else None
+        got = page.text(main, lifted) if main else None
         if got:
-            slots = page.text(main, template.blocks) or ""
+            slots = page.text(main, lifted, template.blocks) or ""
             got = slots if 2 * len(slots) >= len(got) else got
-        texts[s] = got if got else page.text(container(page.masses())) or ""
+        texts[s] = got if got else page.text(*judged(page.masses())) or ""
     return [texts[s] for s in sources]
 
 
