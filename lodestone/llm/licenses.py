@@ -1,7 +1,10 @@
 """License scans: normalised text against license templates by Dice over word bigrams.
 
-A document's segments are its whole text, its paragraphs (stretches between blank lines) and
-its lines. A segment's words are lower-cased runs of letters and digits, with spelling variants
+A document's segments are its whole text, its paragraphs (stretches between blank lines), its
+lines, and windows: for each template, the runs of words, across lines and paragraphs, that
+begin and end with a bigram of it, have at most the words that Dice allows, and are the best
+where they lie. A window is left out where a segment of the other kinds or a better window that
+matches the same license overlaps it. A segment's words are lower-cased runs of letters and digits, with spelling variants
 folded; its bigrams are a set. A template is a candidate for a segment of a bigrams only if
 its number b of bigrams lets Dice, 2 * min(a, b) / (a + b), reach the threshold: templates are
 kept sorted by size and the candidates are a slice. A segment without any bigram of any
@@ -17,13 +20,16 @@ replaced.
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm import license_texts as full
 from lodestone.llm.common import read
 
 THRESHOLD = 0.8
@@ -101,6 +107,10 @@ software. 3. This notice may not be removed or altered from any source distribut
 publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
 purpose, commercial or non-commercial, and by any means."""),
     ("Proprietary", "All rights reserved."),
+    ("Apache-2.0", full.APACHE_2_0),
+    ("GPL-3.0", full.GPL_3_0),
+    ("MPL-2.0", full.MPL_2_0),
+    ("CC0-1.0", full.CC0_1_0),
 )
 
 _WORD = re.compile(r"[^\W_]+")
@@ -126,6 +136,14 @@ class Scanner:
         self.firsts = {a for _, _, g in made for a, _ in g}
         self.known = set().union(*(g for _, _, g in made)) if made else set()
         self.least = threshold / (2 - threshold)
+        # for windows: the templates of a bigram, and for each the bigrams it needs at least and the words of a window at most
+        self.having: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for k, (_, _, g) in enumerate(made):
+            for pair in g:
+                self.having[pair].append(k)
+        longest = {(name, frozenset(bigrams(ws))): len(ws) for name, text in templates if (ws := words(text))}
+        self.needs = [math.ceil(n * self.least - 1e-9) for n, _, _ in made]
+        self.spans = [math.ceil(longest[name, frozenset(g)] / self.least) for _, name, g in made]
 
     def candidates(self, a: int) -> list[tuple[int, str, set]]:
         """Templates whose size lets a segment of a bigrams reach the threshold."""
@@ -137,7 +155,7 @@ class Scanner:
             return []
         found = []
         most = self.sizes[-1] / self.least + 1
-        for begin, end in segments(text):
+        for begin, end in segments(text, self):
             part = text[begin:end]
             # a segment of few bigrams may still have many words, but not fewer than bigrams
             ws = words(part)
@@ -153,8 +171,82 @@ class Scanner:
         return found
 
 
-def segments(text: str) -> list[tuple[int, int]]:
-    """Places of the whole text, its paragraphs and its lines, each once and without blank ends."""
+    def windows(self, text: str, others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """Places of the windows that others, places too, don't cover as well."""
+        ws = words(text)
+        if self.firsts.isdisjoint(ws):
+            return []
+        pairs = list(zip(ws, ws[1:], strict=False))
+        hits: dict[int, list[int]] = defaultdict(list)
+        for i, pair in enumerate(pairs):
+            if pair in self.known:
+                for k in self.having[pair]:
+                    hits[k].append(i)
+        found = []
+        for k, at in hits.items():
+            size, name, t = self.templates[k]
+            need, most = self.needs[k], self.spans[k]
+            if len(at) < need or len({pairs[i] for i in at}) < need:
+                continue
+            found += [(score, size, name, i, j) for score, i, j in self._best(pairs, at, t, need, most)]
+        if not found:
+            return []
+        low = text.lower()
+        places = [m.span() for m in _WORD.finditer(low)]
+        if len(low) != len(text):  # a few letters are longer in lower case
+            origin = [i for i, c in enumerate(text) for _ in c.lower()]
+            places = [(origin[a], origin[b - 1] + 1) for a, b in places]
+        taken: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        parts = [(a, b, bigrams(words(text[a:b]))) for a, b in others]
+        out = []
+        for score, size, name, i, j in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+            a, b = places[i][0], places[j + 1][1]
+            if any(x < b and a < y for x, y in taken[name]):
+                continue
+            if any(x < b and a < y and any(n == name and dice(g, t) >= self.threshold for _, n, t in self.candidates(len(g))) for x, y, g in parts):
+                continue
+            taken[name].append((a, b))
+            out.append((a, b))
+        return out
+
+    def _best(self, pairs, at: list[int], t: set, need: int, most: int) -> list[tuple[float, int, int]]:
+        """(Dice, first, last bigram) of each start's best window; a window begins and ends with stretches of hits, as each hit more raises Dice."""
+        out = []
+        hit = set(at)
+        for n, i in enumerate(at):
+            if i - 1 in hit or n + need > len(at) or at[n + need - 1] - i >= most:
+                continue
+            seen, common, best = set(), 0, None
+            end = min(i + most, len(pairs))
+            for j in range(i, end):
+                if pairs[j] not in seen:
+                    seen.add(pairs[j])
+                    common += pairs[j] in t
+                    if len(seen) * self.least > len(t) + 1e-9:
+                        break
+                if j in hit and (j + 1 not in hit or j + 1 == end):
+                    score = 2 * common / (len(seen) + len(t))
+                    if score >= self.threshold and (best is None or score > best[0]):
+                        best = (score, i, j)
+            if best:
+                out.append(best)
+        return out
+
+
+_scanner: list[Scanner] = []
+
+
+def segments(text: str, scanner: Scanner | None = None) -> list[tuple[int, int]]:
+    """Places of the whole text, its paragraphs, its lines and its windows, each once and without blank ends."""
+    if scanner is None:
+        if not _scanner:
+            _scanner.append(Scanner())
+        scanner = _scanner[0]
+    others = _plain_segments(text)
+    return sorted({*others, *scanner.windows(text, others)})
+
+
+def _plain_segments(text: str) -> list[tuple[int, int]]:
     spans = {(0, len(text))}
     at = 0
     for m in _BLANK_LINE.finditer(text):
