@@ -3,6 +3,10 @@
 ``rest_pages`` reads a list endpoint: pages follow one another by cursor, so one endpoint is one
 partition; several paths (comma-separated) are read side by side. A busy answer (429) is tried
 again after the time that the service names, others fail the task, which Spark runs again.
+With method POST, size and cursor go into the JSON body (query, filter, sort) that is sent.
+With children, the lists of blocks below an item that has children follow it, depth first;
+path then names the list that an item is of, and with it the parent. More pages than
+max_pages, or a cursor given twice, raise an error: nothing is cut silently.
 Writing sends one request per row (method, path, body).
 """
 
@@ -21,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 TRIES = 3
 WAIT = 5.0
+#: Pages of a search at most, as in the reference; other lists have no limit unless asked for.
+SEARCH_PAGES = 1_000
 
 
 def request(url: str, method: str = "GET", body: str | None = None, token: str = "", tries: int = TRIES, wait: float = WAIT) -> dict:
@@ -38,7 +44,7 @@ def request(url: str, method: str = "GET", body: str | None = None, token: str =
 
 
 class RestPages(DataSource):
-    """Format ``rest_pages``. Options: url, paths, token, page_size, wait."""
+    """Format ``rest_pages``. Options: url, paths, token, page_size, wait, method, body, children, max_pages."""
 
     @classmethod
     def name(cls) -> str:
@@ -69,21 +75,54 @@ class _Reader(DataSourceReader):
         self.url, self.token = options["url"].rstrip("/"), options.get("token", "")
         self.paths = [p.strip() for p in options["paths"].split(",") if p.strip()]
         self.size, self.wait = int(options.get("page_size", 100)), float(options.get("wait", WAIT))
+        self.method, self.body = options.get("method", "GET").upper(), json.loads(options.get("body") or "{}")
+        self.children, self.most = options.get("children", "").lower() == "true", options.get("max_pages")
 
     def partitions(self) -> list[_Endpoint]:
         return [_Endpoint(p) for p in self.paths]
 
     def read(self, partition: _Endpoint) -> Iterator[pa.RecordBatch]:
-        cursor, page = "", 0
+        rows: list[tuple[str, int, str]] = []
+        # the lists being read, from the endpoint's down to that of the innermost block
+        lists = [self._list(partition.path, self.method)]
+        while lists:
+            found = next(lists[-1], None)
+            if found is None:
+                lists.pop()
+                continue
+            path, page, item = found
+            rows.append((path, page, json.dumps(item, sort_keys=True)))
+            if self.children and isinstance(item, dict) and item.get("has_children"):
+                lists.append(self._list(f"blocks/{item['id']}/children", "GET"))
+            if len(rows) >= self.size:
+                yield self._batch(rows)
+                rows = []
+        yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple[str, int, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], names=["path", "page", "item"])
+
+    def _list(self, path: str, method: str) -> Iterator[tuple[str, int, object]]:
+        """(path, page, item) of a list's pages."""
+        most = int(self.most) if self.most else SEARCH_PAGES if path == "search" else None
+        cursor, page, seen = "", 0, set()
         while True:
-            mark = "&" if "?" in partition.path else "?"
-            after = f"&start_cursor={cursor}" if cursor else ""
-            answer = request(f"{self.url}/{partition.path}{mark}page_size={self.size}{after}", token=self.token, wait=self.wait)
-            items = [json.dumps(x, sort_keys=True) for x in answer.get("results", [])]
-            yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(items), pa.string()), pa.array([page] * len(items), pa.int32()), pa.array(items, pa.string())], names=["path", "page", "item"])
+            if method == "GET":
+                mark = "&" if "?" in path else "?"
+                after = f"&start_cursor={cursor}" if cursor else ""
+                answer = request(f"{self.url}/{path}{mark}page_size={self.size}{after}", token=self.token, wait=self.wait)
+            else:
+                body = self.body | {"page_size": self.size} | ({"start_cursor": cursor} if cursor else {})
+                answer = request(f"{self.url}/{path}", method, json.dumps(body), self.token, wait=self.wait)
+            for item in answer.get("results", []):
+                yield path, page, item
             cursor, page = answer.get("next_cursor") or "", page + 1
             if not answer.get("has_more") or not cursor:
                 return
+            if cursor in seen or (most and page >= most):
+                raise RuntimeError(f"{path}: more pages after {page}, " + ("by a cursor given before" if cursor in seen else f"the limit is {most}"))
+            seen.add(cursor)
 
 
 class _Writer(DataSourceArrowWriter):
