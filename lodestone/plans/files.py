@@ -85,7 +85,7 @@ QUERIES = {
     "name_members": lambda s, d: D.name_members(S.of_parts(s, d)),
     "content_stage_counts": lambda s, d: D.stage_counts(S.of_documents(s, d)),
     "allowed_duplicates": lambda s, d: D.without_allowed(D.by_content(S.of_documents(s, d)), globs=["src1"]),
-    "near_names": lambda s, d: D.near_names(S.of_parts(s, d), threshold=0.6, cap=40),
+    "near_names": lambda s, d: D.near_names(S.of_parts(s, d), threshold=0.6),
     "duplicate_plan": _plan,
     "treemap": lambda s, d: D.treemap(S.of_documents(s, d)),
     "largest_space": lambda s, d: D.treemap(S.of_parts(s, d)).limit(20),
