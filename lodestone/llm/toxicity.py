@@ -102,13 +102,17 @@ class Matcher:
 
         self.lexicon = lexicon
         self.automaton = ahocorasick.Automaton()
+        # a word, the family of its beginning and an exception may share a key
+        kinds: dict[str, list[tuple[int, float | None, bool]]] = {}
         for entry, w in lexicon.weights.items():
-            if entry.strip("*"):
-                self.automaton.add_word(entry.rstrip("*"), (len(entry.rstrip("*")), w, not entry.endswith("*")))
+            if key := entry.rstrip("*"):
+                kinds.setdefault(key, []).append((len(key), w, not entry.endswith("*")))
         for phrase in lexicon.exceptions:
             f = fold(phrase)[1]
             if f:
-                self.automaton.add_word(f, (len(f), None, True))
+                kinds.setdefault(f, []).append((len(f), None, True))
+        for key, values in kinds.items():
+            self.automaton.add_word(key, values)
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -119,13 +123,15 @@ class Matcher:
         low, folded = fold(text)
         hits, spared = [], []
         n = len(low)
-        for last, (size, weight, whole) in self.automaton.iter(folded):
+        for last, values in self.automaton.iter(folded):
+            size = values[0][0]
             begin, end = last + 1 - size, last + 1
             if begin and (low[begin - 1].isalnum() or low[begin - 1] in "@$" and begin > 1 and low[begin - 2].isalnum()):
                 continue
-            if whole and end < n and low[end].isalnum():
-                continue
-            (spared if weight is None else hits).append((begin, end, weight))
+            for _, weight, whole in values:
+                if whole and end < n and low[end].isalnum():
+                    continue
+                (spared if weight is None else hits).append((begin, end, weight))
         if spared:
             hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
         # overlapping entries of one word count once, by the heaviest
