@@ -4,7 +4,6 @@ import math
 
 import duckdb
 import pytest
-from conftest import SF
 
 from lodestone import plans
 
@@ -25,10 +24,10 @@ def rows(table):
 
 
 @pytest.fixture(scope="module")
-def duck():
+def duck(sf):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
 
