@@ -58,10 +58,14 @@ def query_form(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """White-space tokens; one of several characters with a Thai letter becomes its overlapping pairs."""
+    """White-space tokens; one of several characters with a Thai letter becomes its overlapping pairs.
+
+    Only texts with a Thai letter are looked at word by word.
+    """
     words = F.array_remove(F.split(F.trim(text), r"(?U)\s+"), "")
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substr(w, i, F.lit(2)))
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike("[฀-๿]") & (F.char_length(w) > 1), pairs(w)).otherwise(F.array(w))))
+    each = F.flatten(F.transform(words, lambda w: F.when(w.rlike("[฀-๿]") & (F.char_length(w) > 1), pairs(w)).otherwise(F.array(w))))
+    return F.when(text.rlike("[฀-๿]"), each).otherwise(words)
 
 
 def token_estimate(text: Column) -> Column:

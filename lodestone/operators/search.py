@@ -19,10 +19,14 @@ K1, B = 1.2, 0.75
 SYNONYM_WEIGHT = 0.8
 
 
-def postings(docs: DataFrame, tokens: Column) -> DataFrame:
-    """doc, term, tf, length of docs (doc, ...): counted within each document, without a shuffle."""
-    d = docs.select("doc", tokens.alias("t")).withColumn("length", F.size("t"))
-    return d.select("doc", F.explode("t").alias("term"), "length").groupBy("doc", "term", "length").agg(F.count(F.lit(1)).alias("tf"))
+def postings(docs: DataFrame, tokens: Column, *more: str) -> DataFrame:
+    """doc, more, term, tf, length of docs (doc, more, ...): counted inside each document's sorted terms, without a shuffle."""
+    d = docs.select("doc", *more, F.array_sort(tokens).alias("t")).withColumn("length", F.size("t"))
+    t = F.col("t")
+    d = d.filter("length > 0").withColumn("heads", F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))))
+    heads = F.col("heads")
+    runs = F.transform(heads, lambda h, k: F.struct(F.get(t, h).alias("term"), (F.coalesce(F.get(heads, k + 1), F.col("length")) - h).cast("bigint").alias("tf")))
+    return d.select("doc", *more, "length", F.explode(runs).alias("r")).select("doc", *more, "r.term", "length", "r.tf")
 
 
 def bm25(docs: DataFrame, tokens: Column, query: list[tuple[str, float]]) -> DataFrame:

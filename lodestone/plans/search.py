@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import search as S
-from lodestone.session import table
+from lodestone.operators.postings import Index
+from lodestone.session import kept_dir, table
 
 WORDS = ["license", "apache", "the", "qui"]
 SYNONYMS = {"license": ["licensed", "rights"], "apache": ["gnu"]}
@@ -16,13 +17,44 @@ def _docs(spark, sf):
     return table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.lower("text").alias("text"))
 
 
+_indexes: dict = {}
+
+
+def _index(spark, sf) -> Index:
+    """The index of a folder's documents, built by the first query of a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.lower("text").alias("text"), "lang")
+        _indexes[key] = Index(spark, kept_dir(spark, "index")).build(docs, X.terms(F.col("text")), "lang")
+    return _indexes[key]
+
+
 def _bm25(spark, sf):
-    found = S.bm25(_docs(spark, sf), X.terms(F.col("text")), [(w, 1.0) for w in WORDS])
+    found = _index(spark, sf).bm25([(w, 1.0) for w in WORDS])
     return S.top(found).select("doc", F.round("score", 6).alias("score"), F.round(S.confidence(F.col("score")), 6).alias("confidence"))
 
 
+def _scan(spark, sf):
+    found = S.bm25(_docs(spark, sf), X.terms(F.col("text")), [(w, 1.0) for w in WORDS])
+    return S.top(found).select("doc", F.round("score", 6).alias("score"))
+
+
+def _grouped(spark, sf):
+    return S.top(_index(spark, sf).bm25([(w, 1.0) for w in WORDS], ["en", "fr"])).select("doc", F.round("score", 6).alias("score"))
+
+
+def _changed(spark, sf):
+    """The index after a tenth of the documents left and another tenth came back twice as long."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.lower("text").alias("text"), "lang")
+    index = Index(spark, kept_dir(spark, "index")).build(docs, X.terms(F.col("text")), "lang")
+    twice = docs.filter("doc % 10 = 1").withColumn("text", F.concat_ws(" ", "text", "text"))
+    index.apply(twice, docs.filter("doc % 10 = 0"), X.terms(F.col("text")), "lang")
+    left = index.compact(kept_dir(spark, "index"))
+    return S.top(left.bm25([(w, 1.0) for w in WORDS])).select("doc", F.round("score", 6).alias("score"))
+
+
 def _synonyms(spark, sf):
-    found = S.bm25(_docs(spark, sf), X.terms(F.col("text")), S.expand(["license", "apache"], SYNONYMS))
+    found = _index(spark, sf).bm25(S.expand(["license", "apache"], SYNONYMS))
     return S.top(found).select("doc", F.round("score", 6).alias("score"))
 
 
@@ -31,19 +63,16 @@ def _entries(spark, sf):
 
 
 def _merged(spark, sf):
-    a = S.bm25(_docs(spark, sf), X.terms(F.col("text")), [("license", 1.0)])
-    b = S.bm25(_docs(spark, sf), X.terms(F.col("text")), [("licensed", 2.0)])
-    return S.best_of(("first", a), ("second", b)).select("doc", F.round("score", 6).alias("score"), "match")
+    index = _index(spark, sf)
+    return S.best_of(("first", index.bm25([("license", 1.0)])), ("second", index.bm25([("licensed", 2.0)]))).select("doc", F.round("score", 6).alias("score"), "match")
 
 
 def _rerank(spark, sf):
-    a = S.bm25(_docs(spark, sf), X.terms(F.col("text")), [("licensed", 1.0)])
+    a = _index(spark, sf).bm25([("licensed", 1.0)])
     r = table(spark, sf, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").cast("double").alias("relevance"))
     return S.rerank(a, r).select("doc", F.round("score", 6).alias("score"))
 
 
-
-
 def _nearest(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc"), "embedding")
     return S.nearest(v, _query_of(v)).select("doc", F.round("score", 5).alias("score"))
@@ -55,8 +84,11 @@ def _query_of(v):
 
 QUERIES = {
     "bm25_search": _bm25,
+    "bm25_scan": _scan,
+    "bm25_groups": _grouped,
+    "bm25_changed": _changed,
     "synonym_search": _synonyms,
-    "index_statistics": lambda s, d: S.index_statistics(_docs(s, d), X.terms(F.col("text"))),
+    "index_statistics": lambda s, d: _index(s, d).totals(),
     "fuzzy_candidates": lambda s, d: S.fuzzy_candidates(_entries(s, d), "green widgit", 3, 700, 50),
     "fuzzy_search": lambda s, d: S.fuzzy(_entries(s, d), "green widgit", 2, 4096, 1024, 0.5).select("doc", "name", F.round("score", 6).alias("score")),
     "best_match": _merged,
@@ -67,11 +99,11 @@ QUERIES = {
 _T = "t AS (SELECT doc_id AS doc, list_filter(regexp_split_to_array(trim(lower(text), ' ' || chr(10) || chr(9) || chr(13)), '\\s+'), lambda x: x <> '') AS t FROM documents)"
 
 
-def _score(terms, name="s"):
+def _score(terms, name="s", t="t"):
     values = ", ".join(f"('{w}', CAST({x} AS DOUBLE))" for w, x in terms)
     return f"""{name}_q(w, weight) AS (VALUES {values}),
-    {name}_n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
-    {name}_c AS (SELECT doc, len(t) AS length, w, weight, len(list_filter(t, lambda x: x = w)) AS tf FROM t, {name}_q),
+    {name}_n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM {t}),
+    {name}_c AS (SELECT doc, len(t) AS length, w, weight, len(list_filter(t, lambda x: x = w)) AS tf FROM {t}, {name}_q),
     {name}_d AS (SELECT w, count(*) AS df FROM {name}_c WHERE tf > 0 GROUP BY w),
     {name} AS (SELECT doc, sum(weight * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS score FROM {name}_c JOIN {name}_d USING (w), {name}_n WHERE tf > 0 GROUP BY doc)"""
 
@@ -92,6 +124,10 @@ def _fuzzy(n, cap, take):
 
 ORACLE = {
     "bm25_search": f"WITH {_T}, {_score([(w, 1.0) for w in WORDS])} SELECT doc, round(score, 6) AS score, round(least(score, 10) / 10, 6) AS confidence FROM s ORDER BY s.score DESC, doc LIMIT 20",
+    "bm25_scan": f"WITH {_T}, {_score([(w, 1.0) for w in WORDS])} SELECT doc, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc LIMIT 20",
+    "bm25_groups": f"WITH {_T}, {_score([(w, 1.0) for w in WORDS])} SELECT doc, round(score, 6) AS score FROM s JOIN documents ON doc_id = doc WHERE lang IN ('en', 'fr') ORDER BY s.score DESC, doc LIMIT 20",
+    "bm25_changed": f"""WITH {_T}, u AS (SELECT doc, CASE WHEN doc % 10 = 1 THEN list_concat(t, t) ELSE t END AS t FROM t WHERE doc % 10 <> 0),
+      {_score([(w, 1.0) for w in WORDS], "s", "u")} SELECT doc, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc LIMIT 20""",
     "synonym_search": f"WITH {_T}, {_score([('license', 1.0), ('apache', 1.0), ('licensed', 0.8), ('rights', 0.8), ('gnu', 0.8)])} SELECT doc, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc LIMIT 20",
     "index_statistics": f"WITH {_T}, p AS (SELECT doc, unnest(t) AS term FROM t), c AS (SELECT doc, term, count(*) AS tf FROM p GROUP BY 1, 2) SELECT count(DISTINCT doc) AS docs, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM c",
     "fuzzy_candidates": f"WITH {_fuzzy(3, 700, 50)} SELECT * FROM c",
