@@ -39,6 +39,15 @@ def normalise(text: Column) -> Column:
     return F.when(text.rlike(r"\A[\x00-\x7F]*\z"), lower).otherwise(F.pandas_udf(_normal_forms, T.StringType())(text))
 
 
+def composed(text: Column) -> Column:
+    """NFC. Texts of plain letters alone stay with the JVM."""
+    return F.when(text.rlike(r"\A[\x00-\xFF]*\z"), text).otherwise(F.pandas_udf(_nfc, T.StringType())(text))
+
+
+def _nfc(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def _normal_forms(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         if t is None:

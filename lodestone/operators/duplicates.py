@@ -90,7 +90,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def near_names(files: DataFrame, threshold: float = 0.9, n: int = 3, cap: int = 256, bucket: int = 4096) -> DataFrame:
-    """Pairs (left_path, right_path, similarity) of files of one size bucket whose lower-cased names nearly agree.
+    """Pairs (bucket, left_name, right_name, similarity) of names in one size bucket whose lower-cased names nearly agree.
 
     Files of equal name are one entry here, so a common name costs one row a gram; grams of
     more than cap entries of a bucket propose nothing. Equal names are no near pair.
@@ -107,6 +107,30 @@ def near_names(files: DataFrame, threshold: float = 0.9, n: int = 3, cap: int =
     return pairs.withColumn("similarity", similarity(F.col("left_name"), F.col("right_name"))).filter(F.col("similarity") >= threshold)
 
 
+def name_counters(files: DataFrame, threshold: float = 0.9, n: int = 3, cap: int = 256, bucket: int = 4096) -> DataFrame:
+    """possible, candidates, matches, skipped: what the near-name search of files met, in one row.
+
+    possible: pairs of distinct names of one bucket; candidates: those that share a gram of at
+    most cap entries; skipped: entries of grams beyond the cap.
+    """
+    entries = files.select(F.lower("name").alias("name"), F.floor(F.col("size") / bucket).alias("bucket")).distinct()
+    grams = entries.select("bucket", "name", F.explode(char_grams(F.col("name"), n)).alias("gram"))
+    sizes = grams.groupBy("bucket", "gram").agg(F.count(F.lit(1)).alias("m"))
+    whole = F.coalesce(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.lit(0)).cast("bigint")
+    possible = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).agg(whole.alias("possible"))
+    skipped = sizes.agg(F.coalesce(F.sum(F.when(F.col("m") > cap, F.col("m"))), F.lit(0)).cast("bigint").alias("skipped"))
+    few = grams.join(sizes.filter((F.col("m") > 1) & (F.col("m") <= cap)).select("bucket", "gram"), ["bucket", "gram"])
+    a, b = few.toDF("bucket", "gram", "one"), few.toDF("bucket", "gram", "two")
+    met = a.join(b, ["bucket", "gram"]).filter("one < two").select("bucket", "one", "two").distinct()
+    met = met.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(similarity(F.col("one"), F.col("two")) >= threshold).alias("matches"))
+    return possible.crossJoin(met).crossJoin(skipped)
+
+
+def ordered(groups: DataFrame) -> DataFrame:
+    """Groups (kind, items, similarity) as a report lists them: similar ones first, then by kind and items."""
+    return groups.orderBy(F.desc("similarity"), "kind", "items") if "similarity" in groups.columns else groups.orderBy("kind", "items")
+
+
 def without_allowed(groups: DataFrame, sha256: list[str] = (), globs: list[str] = (), pairs: list[tuple[str, str]] = ()) -> DataFrame:
     """groups less those that a rule allows: by hash, by a text in every path, or by two paths."""
     allowed = F.lit(False)

@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import names
+from lodestone.functions.text import composed
 
 
 @dataclass(frozen=True)
 class Rules:
     """Settings of one profile; what is None or empty changes and checks nothing."""
 
+    unicode: str | None = None
     case: str | None = None
     separator: str | None = None
     trim: bool = True
     control: bool = True
     replacements: tuple[tuple[str, str], ...] = ()
     shortcuts: dict[str, str] = field(default_factory=dict)
+    aliases: dict[str, str] = field(default_factory=dict)
+    variables: dict[str, str] = field(default_factory=dict)
+    reposition: tuple[tuple[str, str], ...] = ()
     front: str | None = None
     prefix: str | None = None
     pattern: str | None = None
@@ -29,22 +34,54 @@ class Rules:
     portable: bool = True
 
 
+def expand(text: str, variables: dict[str, str]) -> str:
+    """text with every {{name}} replaced, names in order."""
+    for name in sorted(variables):
+        text = text.replace("{{" + name + "}}", variables[name])
+    return text
+
+
+def replaced(text: Column, old: str, new: str) -> Column:
+    """Every old, whatever its case, becomes new; $1 and the like in new are groups as in any pattern."""
+    return F.regexp_replace(text, r"(?iu)\Q" + old.replace("\\E", r"\E\\E\Q") + r"\E", new) if old else text
+
+
+def _by_token(stem: Column, table: dict[str, str], variables: dict[str, str]) -> Column:
+    """The stem's tokens joined by blanks, those that the table names, case aside, as it says."""
+    lookup = F.create_map(*[x for k in sorted(table, reverse=True) for x in (F.lit(k.lower()), F.lit(expand(table[k], variables)))]) if len({k.lower() for k in table}) == len(table) else None
+    if lookup is None:
+        first: dict[str, str] = {}
+        for k in sorted(table):
+            first.setdefault(k.lower(), table[k])
+        return _by_token(stem, first, variables)
+    return F.array_join(F.transform(names.tokens(stem), lambda w: F.coalesce(F.try_element_at(lookup, F.lower(w)), w)), " ")
+
+
+def reposition(stem: Column, token: str, back: bool = False) -> Column:
+    """The stem's tokens joined by blanks, the first that is token, case aside, moved to the front or the back."""
+    parts = names.tokens(stem)
+    at = F.array_position(F.transform(parts, lambda w: F.lower(w)), token.lower()).cast("int")
+    one = F.slice(parts, at, F.lit(1))
+    rest = F.concat(F.slice(parts, F.lit(1), at - 1), F.slice(parts, at + 1, F.size(parts)))
+    return F.array_join(F.when(at > 0, F.concat(rest, one) if back else F.concat(one, rest)).otherwise(parts), " ")
+
+
 def target_stem(stem: Column, rules: Rules) -> Column:
-    """The chain of changes, in order: control characters, blanks, replacements, shortcuts, position, prefix, case, separator."""
+    """The chain of changes, in order: normal form, control characters, blanks, replacements, shortcuts, aliases, positions, prefix, case, separator."""
     t = stem
+    if rules.unicode == "nfc":
+        t = composed(t)
     if rules.control:
         t = F.regexp_replace(t, r"\p{Cc}", "")
     if rules.trim:
         t = F.trim(t)
     for a, b in rules.replacements:
-        t = F.replace(t, F.lit(a), F.lit(b))
-    if rules.shortcuts:
-        table = F.create_map(*[x for k, v in rules.shortcuts.items() for x in (F.lit(k), F.lit(v))])
-        t = F.array_join(F.transform(F.split(t, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
-    if rules.front:
-        word = F.lit(rules.front)
-        parts = names.tokens(t)
-        t = F.when(F.array_contains(parts, word), F.array_join(F.concat(F.array(word), F.array_remove(parts, rules.front)), " ")).otherwise(t)
+        t = replaced(t, expand(a, rules.variables), expand(b, rules.variables))
+    for table in (rules.shortcuts, rules.aliases):
+        if table:
+            t = _by_token(t, table, rules.variables)
+    for token, where in rules.reposition or (((rules.front, "front"),) if rules.front else ()):
+        t = reposition(t, expand(token, rules.variables), where == "back")
     if rules.prefix:
         t = F.when(~t.startswith(rules.prefix), F.concat(F.lit(rules.prefix + " "), t)).otherwise(t)
     if rules.case in ("lower", "upper"):
@@ -54,11 +91,36 @@ def target_stem(stem: Column, rules: Rules) -> Column:
     return t
 
 
+def settings_errors(settings: dict) -> list[str]:
+    """What is wrong with a profile's settings (a mapping, as read from a file)."""
+    import re
+
+    errors = []
+    for key, allowed in (("unicode", ("nfc",)), ("case", ("lower", "upper", "preserve")), ("separator", ("kebab", "snake", "preserve"))):
+        if settings.get(key) is not None and settings[key] not in allowed:
+            errors.append(f"unsupported {key} value {settings[key]}")
+    threshold = ((settings.get("similarity") or {}).get("name") or {}).get("threshold")
+    if threshold is not None and not 0 <= threshold <= 1:
+        errors.append(f"similarity threshold must be between 0 and 1: {threshold}")
+    for key, bounds in (("length.stem", (settings.get("length") or {}).get("stem") or {}), ("words", settings.get("words") or {})):
+        if None not in (bounds.get("min"), bounds.get("max")) and bounds["min"] > bounds["max"]:
+            errors.append(f"{key} min cannot exceed max")
+    if settings.get("stemRegex") is not None:
+        try:
+            re.compile(settings["stemRegex"])
+        except re.error as e:
+            errors.append(f"invalid stemRegex {settings['stemRegex']}: {e}")
+    if any(not x or x.startswith(".") or any(c.isspace() for c in x) for x in settings.get("extensions") or ()):
+        errors.append("extensions must be non-empty values without a leading dot or blank")
+    return errors
+
+
 def issues(name: Column, rules: Rules) -> Column:
     """The kinds of rules that a name breaks, in order."""
     stem = names.stem(name)
     parts, digits = names.tokens(stem), F.char_length(F.regexp_replace(stem, "[^0-9]", ""))
     checks = [
+        (rules.unicode == "nfc", stem != composed(stem), "unicode"),
         (rules.control, stem.rlike(r"\p{Cc}"), "control_character"),
         (rules.trim, stem != F.trim(stem), "trim_whitespace"),
         (rules.prefix, ~stem.startswith(rules.prefix or ""), "prefix"),
@@ -102,3 +164,8 @@ def findings(files: DataFrame, rules: Rules) -> DataFrame:
     taken = files.select(F.concat(F.regexp_extract("path", r"^(.*/)?[^/]*$", 1), F.col("name")).alias("target")).distinct().withColumn("taken", F.lit(True))
     out = out.join(taken, "target", "left")
     return out.select("path", "issues", "target", F.coalesce("taken", F.lit(False)).alias("blocked"))
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """findings() by path, as a report lists them."""
+    return found.orderBy("path")
