@@ -21,13 +21,13 @@ def grep(files: DataFrame, patterns: list[str], context: int = 2) -> DataFrame:
     """
     any_hit = reduce(lambda a, b: a | b, [F.contains("content", F.lit(p)) for p in patterns])
     rows = files.filter(any_hit).select("path", lines_of(F.col("content")).alias("lines"))
-    one = rows.select("path", "lines", F.posexplode("lines").alias("i", "text"))
-    place = F.coalesce(*[F.when(F.contains("text", F.lit(p)), F.octet_length(F.substring_index("text", p, 1)) + 1) for p in patterns])
-    hits = one.withColumn("col", place).filter("col is not null")
-    start = F.greatest(F.col("i") - context, F.lit(0))
-    before = F.slice("lines", start + 1, F.col("i") - start)
-    after = F.slice("lines", F.col("i") + 2, F.lit(context))
-    return hits.select("path", (F.col("i") + 1).alias("line"), F.col("col").cast("int").alias("col"), "text", before.alias("before"), after.alias("after"))
+    place = lambda t: F.coalesce(*[F.when(F.contains(t, F.lit(p)), F.octet_length(F.substring_index(t, p, 1)) + 1) for p in patterns])
+    lines = F.col("lines")
+    found = F.filter(F.transform(lines, lambda t, i: F.struct(i.alias("i"), place(t).cast("int").alias("col"))), lambda h: h.col.isNotNull())
+    start = lambda h: F.greatest(h.i - context, F.lit(0))
+    # hits are cut out inside the file's row, so that only they are copied
+    cut = F.transform(found, lambda h: F.struct((h.i + 1).alias("line"), h.col.alias("col"), F.get(lines, h.i).alias("text"), F.slice(lines, start(h) + 1, h.i - start(h)).alias("before"), F.slice(lines, h.i + 2, F.lit(context)).alias("after")))
+    return rows.select("path", F.explode(cut).alias("h")).select("path", "h.*")
 
 
 def find_paths(files: DataFrame, text: str) -> DataFrame:
