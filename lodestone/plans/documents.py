@@ -83,8 +83,8 @@ ORACLE = {
         folder || replace(upper('P ' || r), ' ', '_') AS target, false AS blocked FROM g""",
     "naming_scopes": """WITH f AS (SELECT source || '/' || doc_id || '.' || lang AS path, source FROM documents)
       SELECT path, CASE source WHEN 'src1' THEN 'one' WHEN 'src3' THEN 'three' ELSE 'deux' END AS profile, source = 'src2' AND path <> 'src2/2.en' AS ambiguous FROM f WHERE source IN ('src1', 'src2', 'src3')""",
-    "read_tables": "SELECT p_partkey AS doc, 'name,brand' AS header, 'left,right' AS alignments, p_name || ',' || p_brand AS cells FROM part WHERE p_partkey <= 200",
-    "write_tables": "SELECT p_partkey AS doc, '| name | brand |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_brand || ' |' AS text FROM part WHERE p_partkey <= 200",
+    "read_tables": "SELECT p_partkey AS doc, 'name,brand' AS header, 'left,right' AS alignments, p_name || ',' || p_brand AS cells FROM part",
+    "write_tables": "SELECT p_partkey AS doc, '| name | brand |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || p_name || ' | ' || p_brand || ' |' AS text FROM part",
     "markdown_blocks": f"""WITH {_LINES}, t AS (SELECT CASE WHEN regexp_matches(line, '^#{{1,6}}\\s') THEN 'heading' || length(regexp_extract(line, '^(#+)', 1)) WHEN regexp_matches(line, '^\\s*[-*+]\\s+\\[[ xX]\\]\\s') THEN 'task'
       WHEN regexp_matches(line, '^\\s*[-*+]\\s+') THEN 'bullet' WHEN regexp_matches(line, '^\\s*[0-9]+[.)]\\s+') THEN 'numbered' WHEN line LIKE '>%' THEN 'quote' WHEN regexp_matches(line, '^(-{{3,}}|\\*{{3,}}|_{{3,}})\\s*$') THEN 'divider'
       WHEN regexp_matches(line, '^\\s*\\|.*\\|\\s*$') THEN 'table_row' ELSE 'paragraph' END AS type, regexp_replace(line, '^\\s*(#{{1,6}}\\s+|[-*+]\\s+\\[[ xX]\\]\\s+|[-*+]\\s+|[0-9]+[.)]\\s+|>\\s?)', '') AS content FROM b)

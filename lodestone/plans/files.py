@@ -127,7 +127,7 @@ ORACLE = {
     "allowed_duplicates": f"SELECT * FROM ({_GROUPS}) WHERE len(list_filter(items, lambda p: NOT contains(p, 'src1'))) > 0",
     "near_names": f"""WITH e AS (SELECT DISTINCT size // 4096 AS bucket, lower(name) AS name FROM {PARTS}),
       g AS (SELECT DISTINCT bucket, name, unnest(CASE WHEN length(name) <= 3 THEN [name] ELSE list_transform(range(1, length(name) - 1), lambda i: substr(name, i, 3)) END) AS gram FROM e),
-      c AS (SELECT bucket, gram FROM g GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 40), h AS (SELECT g.* FROM g JOIN c USING (bucket, gram)),
+      c AS (SELECT bucket, gram FROM g GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 256), h AS (SELECT g.* FROM g JOIN c USING (bucket, gram)),
       p AS (SELECT DISTINCT a.bucket, a.name AS left_name, b.name AS right_name FROM h a JOIN h b ON a.bucket = b.bucket AND a.gram = b.gram AND a.name < b.name)
       SELECT bucket, left_name, right_name, 1 - levenshtein(left_name, right_name) / CAST(greatest(length(left_name), length(right_name)) AS DOUBLE) AS similarity FROM p
       WHERE 1 - levenshtein(left_name, right_name) / CAST(greatest(length(left_name), length(right_name)) AS DOUBLE) >= 0.6""",

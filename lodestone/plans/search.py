@@ -89,7 +89,7 @@ QUERIES = {
     "bm25_changed": _changed,
     "synonym_search": _synonyms,
     "index_statistics": lambda s, d: _index(s, d).totals(),
-    "fuzzy_candidates": lambda s, d: S.fuzzy_candidates(_entries(s, d), "green widgit", 3, 700, 50),
+    "fuzzy_candidates": lambda s, d: S.fuzzy_candidates(_entries(s, d), "green widgit"),
     "fuzzy_search": lambda s, d: S.fuzzy(_entries(s, d), "green widgit", 2, 4096, 1024, 0.5).select("doc", "name", F.round("score", 6).alias("score")),
     "best_match": _merged,
     "rerank": _rerank,
@@ -130,7 +130,7 @@ ORACLE = {
       {_score([(w, 1.0) for w in WORDS], "s", "u")} SELECT doc, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc LIMIT 20""",
     "synonym_search": f"WITH {_T}, {_score([('license', 1.0), ('apache', 1.0), ('licensed', 0.8), ('rights', 0.8), ('gnu', 0.8)])} SELECT doc, round(score, 6) AS score FROM s ORDER BY s.score DESC, doc LIMIT 20",
     "index_statistics": f"WITH {_T}, p AS (SELECT doc, unnest(t) AS term FROM t), c AS (SELECT doc, term, count(*) AS tf FROM p GROUP BY 1, 2) SELECT count(DISTINCT doc) AS docs, count(DISTINCT term) AS terms, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM c",
-    "fuzzy_candidates": f"WITH {_fuzzy(3, 700, 50)} SELECT * FROM c",
+    "fuzzy_candidates": f"WITH {_fuzzy(2, 4096, 1024)} SELECT * FROM c",
     "fuzzy_search": f"""WITH {_fuzzy(2, 4096, 1024)}, s AS (SELECT doc, name, 1 - levenshtein(name, 'green widgit') / CAST(greatest(length(name), 12) AS DOUBLE) AS score FROM c)
       SELECT doc, name, round(score, 6) AS score FROM s WHERE s.score >= 0.5""",
     "best_match": f"""WITH {_T}, {_score([("license", 1.0)], "a")}, {_score([("licensed", 2.0)], "b")}
