@@ -6,7 +6,7 @@ expressions over its lines, in order inside each row, so a document is never shu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import names
@@ -161,6 +161,31 @@ def diagram_nodes(edges: DataFrame) -> DataFrame:
     return ends.groupBy("doc", "id").agg(F.min_by("label", "pos").alias("label"), F.min("pos").alias("pos"))
 
 
+def diagram_steps(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """doc, pos, source, target, label: each new list item of (doc, text) without an arrow follows the new one before it.
+
+    An item whose id an earlier line has, as an item or an end of an edge, is not new.
+    """
+    rows = docs.select("doc", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.trim(x))).alias("pos", "line"))
+    rows = rows.filter(F.col("line").rlike(r"^([-*•]|[0-9].*\.)") & ~F.col("line").rlike("->|=>"))
+    label = F.trim(F.regexp_replace("line", r"^[-*•0-9. ]+", ""))
+    steps = rows.select("doc", (F.col("pos") * 2).alias("pos"), label.alias("label"), names.slug(label).alias("id"), F.lit(True).alias("step")).filter("label != ''")
+    nodes = diagram_nodes(edges).select("doc", "pos", "label", "id", F.lit(False).alias("step"))
+    first = steps.unionByName(nodes).groupBy("doc", "id").agg(F.min_by(F.struct("step", "label"), "pos").alias("f"), F.min("pos").alias("pos")).filter("f.step")
+    before = F.lag(F.col("f.label")).over(Window.partitionBy("doc").orderBy("pos"))
+    out = first.select("doc", (F.col("pos") / 2).cast("int").alias("pos"), before.alias("source"), F.col("f.label").alias("target"), F.lit("next_step").alias("label"))
+    return out.filter("source is not null")
+
+
+def diagram_json(edges: DataFrame) -> DataFrame:
+    """doc, text: nodes and edges of each document as JSON, an edge's key being its place from 0."""
+    nodes = diagram_nodes(edges).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "label"))).alias("n"))
+    lines = edges.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", names.slug(F.col("source")).alias("source"), names.slug(F.col("target")).alias("target"), "label"))).alias("e"))
+    as_nodes = F.transform("n", lambda x: F.struct(x.id.alias("id"), x.label.alias("label")))
+    as_edges = F.transform("e", lambda x, i: F.struct(i.alias("key"), x.source.alias("source"), x.target.alias("target"), x.label.alias("label")))
+    return nodes.join(lines, "doc").select("doc", F.to_json(F.struct(as_nodes.alias("nodes"), as_edges.alias("edges"))).alias("text"))
+
+
 def mermaid(edges: DataFrame) -> DataFrame:
     """doc, text: a flowchart of edges, in order."""
     arrow = F.when(F.col("label").isNotNull(), F.concat(F.lit(" -->|"), F.col("label"), F.lit("| "))).otherwise(F.lit(" --> "))
