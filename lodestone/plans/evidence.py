@@ -174,6 +174,12 @@ ORACLE = {
       AND correction_id NOT IN (SELECT supersedes FROM led WHERE supersedes IS NOT NULL) GROUP BY 1""",
     "ledger_supersede": f"""WITH {_LED}, a AS (SELECT * FROM led WHERE correction_id NOT IN (SELECT supersedes FROM led WHERE supersedes IS NOT NULL)), n AS (SELECT * FROM a WHERE seq % 4 = 1)
       SELECT correction_id, subject FROM a WHERE seq % 4 <> 1 UNION ALL SELECT correction_id || 'r', subject FROM n""",
+    "admission": """WITH RECURSIVE o AS (SELECT CAST(conv_id AS VARCHAR) AS session, turn AS seq, CASE WHEN turn % 7 <> 6 THEN role || CAST(turn % 2 AS VARCHAR) END AS target, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+      f AS (SELECT DISTINCT session, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS target, CAST([] AS VARCHAR[]) AS seen, 0 AS run, CAST(NULL AS VARCHAR) AS action FROM o
+        UNION ALL SELECT session, i, seq, target, CASE WHEN action IN ('pass', 'reference') THEN list_append(seen, target) ELSE seen END, CASE WHEN target IS NULL THEN 0 WHEN action IN ('pass', 'block') THEN run + 1 ELSE run END, action
+        FROM (SELECT o.session, o.i, o.seq, o.target, seen, run, CASE WHEN o.target IS NULL THEN 'outcome' WHEN len(list_filter(seen, lambda x: x = o.target)) >= 3 THEN 'warn' WHEN list_contains(seen, o.target) THEN 'reference' WHEN run >= 2 THEN 'block' ELSE 'pass' END AS action
+          FROM f JOIN o ON o.session = f.session AND o.i = f.i + 1))
+      SELECT session, seq, action FROM f WHERE i > 0""",
     "event_coalesce": """WITH RECURSIVE e AS (SELECT user_id || '/' || event_type AS path, event_id AS seq, ['created', 'modified', 'deleted'][event_id % 3 + 1] AS kind, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events),
       f AS (SELECT path, i, kind AS change FROM e WHERE i = 1 UNION ALL SELECT e.path, e.i, CASE WHEN change = '' THEN kind WHEN change = 'created' AND kind = 'deleted' THEN '' WHEN change = 'created' AND kind = 'modified' THEN 'created' ELSE kind END FROM f JOIN e ON e.path = f.path AND e.i = f.i + 1)
       SELECT path, arg_max(change, i) AS change FROM f GROUP BY 1 HAVING arg_max(change, i) <> ''""",
