@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ WORD = r"[^ \t-\r]+"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +50,61 @@ def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+#: Records of an Arrow batch on its way to Python, at most: long texts come in bounded pieces.
+BATCH_ROWS = 1_000
+BATCH_BYTES = "8m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES, where they are larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def holds(owner: str, clear: Callable[[], None]) -> None:
+    """Names what empties the caches that an operator keeps in a Python worker."""
+    _held[owner] = clear
+
+
+def _clear_others(owner: str) -> None:
+    for name, clear in _held.items():
+        if name != owner:
+            clear()
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its pages
+        pass
+
+
+def tidied(owner: str, run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]):
+    """run for mapInArrow, in a worker that is used again: caches of other operators go first, free pages last."""
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # both by reference: what is pickled by value would be a copy of the driver's caches
+        _clear_others(owner)
+        yield from run(batches)
+        _trim()
+
+    return tidy
+
+
+def free(columns: Iterable[str], name: str) -> str:
+    """A column name that none of columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once, for use inside array expressions."""
     return F.element_at(F.transform(F.array(value), body), 1)
