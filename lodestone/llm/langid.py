@@ -5,8 +5,9 @@ labelled texts. A text is compressed in pieces with each dictionary and gets the
 total is smallest; the margin to the second smallest gives the score, and a margin below
 ``min_margin`` marks the prediction as rejected.
 
-Fitting reads ``SAMPLE_TEXTS`` distinct texts per label at most and ``SAMPLE_CHARS`` of each,
-chosen by hash, so copies count once and reruns agree; the number of labels is taken to be
+Fitting reads ``SAMPLE_TEXTS`` distinct whole texts per label at most, chosen by hash, and takes
+them as long as they sum to ``SAMPLE_CHARS`` characters (the first one always), so copies count
+once and reruns agree; the number of labels is taken to be
 small, as each is a dictionary in every worker. Prediction reads whole texts.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected;
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out, read
+from lodestone.llm.common import held_out, read, tidied
 
-#: Distinct texts of a label that are sampled, and characters taken of each.
+#: Distinct texts of a label that are sampled, and the characters that they sum to, at most.
 SAMPLE_TEXTS = 128
-SAMPLE_CHARS = 1500
+SAMPLE_CHARS = 200_000
 #: Texts are compressed this many bytes at a time, so that a long text keeps leaning on the dictionary.
 PIECE = 4096
 LEVEL = 6
@@ -49,10 +50,11 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", texts: int = S
     # about eight times the sample passes by hash, the first of which are taken
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 8 * texts / max(1, n))))])
     near = known.filter(F.pmod("h", F.lit(1_000_003)) <= F.element_at(share, F.col("label")) * 1_000_003)
-    short = near.select("label", "h", F.substring("text", 1, chars).alias("text")).dropDuplicates(["label", "h"])
-    first = short.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("k") <= texts)
+    by_hash = Window.partitionBy("label").orderBy("h", "text")
+    first = near.dropDuplicates(["label", "h", "text"]).withColumn("k", F.row_number().over(by_hash)).filter(F.col("k") <= texts)
+    first = first.withColumn("chars", F.sum(F.length("text")).over(by_hash.rowsBetween(Window.unboundedPreceding, 0))).filter((F.col("k") == 1) | (F.col("chars") <= chars))
     found: dict[str, list[str]] = {}
-    for r in first.orderBy("label", "h").collect():
+    for r in first.orderBy("label", "k").collect():
         found.setdefault(r["label"], []).append(r["text"])
     return {k: "\n".join(v).encode() for k, v in sorted(found.items())}
 
@@ -107,7 +109,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *cols], names=[*rest, *outs])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in rest)
-    return src.mapInArrow(run, (schema + ", " if rest else "") + "lang_pred string, score double, rejected boolean")
+    return src.mapInArrow(tidied("langid", run), (schema + ", " if rest else "") + "lang_pred string, score double, rejected boolean")
 
 
 def op8_langid(spark, sf_dir) -> DataFrame:
