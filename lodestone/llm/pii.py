@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import read
+from lodestone.llm.common import read, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -167,14 +167,12 @@ def _bucket(n: int) -> str:
 
 
 def shape(token: str) -> str:
-    """The token with runs of letters as a or A and runs of digits as 9 and their length's class; long ones are cut."""
+    """The token with runs of letters as a or A and runs of digits as 9 and their length's class."""
     core = token.strip(_EDGE) or token[:1]
     out = []
-    for m in _CHUNK.finditer(core[:64]):
+    for m in _CHUNK.finditer(core):
         s = m.group()
         out.append("9" + _bucket(len(s)) if "0" <= s[0] <= "9" else ("A" if s.isupper() else "a") if s[0].isalpha() else s)
-        if len(out) > 16:
-            break
     return "".join(out) + ("~" if token[-1:] in _EDGE else "")
 
 
@@ -195,10 +193,20 @@ class Field:
         self.weights, self.transitions = weights, transitions
         self.by_shape: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.by_token: dict[str, str] = {}
-        plain = sum(self._emissions("a"), np.zeros(len(LABELS)))
         spread = float(self._finite().max() - self._finite().min())
-        #: Whether plain tokens among plain ones are surely outside.
-        self.islands = bool((plain[0] - plain[1:]).min() > 2 * spread)
+        #: Whether plain tokens among plain ones are surely outside, whatever their marks and ends are.
+        self.islands = self._plain_margin() > 2 * spread
+
+    def _plain_margin(self) -> float:
+        """The least by which the emissions of plain tokens favour what is outside, over all marks that were learned."""
+        zero = np.zeros(len(LABELS))
+        marks = {""} | {m for k in self.weights if (m := k.partition(":marks=")[2]) and not re.search(f"[{NOT_PLAIN}]", m)}
+        margin = 0.0
+        for at in ("here", "before", "after"):
+            fixed = self.weights.get(f"{at}:kind=plain", zero) + self.weights.get(f"{at}:digits=0", zero)
+            each = [fixed + self.weights.get(f"{at}:marks={m}", zero) + self.weights.get(f"{at}:end={e}", zero) for m in marks for e in (True, False)]
+            margin += min(float((v[0] - v[1:]).min()) for v in each)
+        return margin
 
     def _finite(self) -> np.ndarray:
         return self.transitions[self.transitions > -1e6]
@@ -209,7 +217,7 @@ class Field:
             f = shape_features(s)
             zero = np.zeros(len(LABELS))
             got = tuple(sum((self.weights.get(f"{at}:{x}", zero) for x in f), zero) for at in ("here", "before", "after"))
-            if len(self.by_shape) < 20_000:
+            if len(self.by_shape) < 20_000 and len(s) < 200:
                 self.by_shape[s] = got
         return got
 
@@ -382,8 +390,16 @@ def _left(text: str, at: int) -> int:
     return at
 
 
+#: How addresses spell their signs.
+_SPELT_AT = re.compile(r"\s*[\[({<]\s*at\s*[\])}>]\s*|\s+at\s+", re.I)
+_SPELT_DOT = re.compile(r"\s*[\[({<]\s*dot\s*[\])}>]\s*|\s+dot\s+", re.I)
+
+
 def plausible(kind: str, found: str) -> bool:
-    """The exact check of a span that the field found: digits and their sums, as the kind has them."""
+    """The exact check of a span that the field found: digits and their sums, as the kind has them; an address has a domain of two parts."""
+    if kind == "email":
+        plain = _SPELT_AT.sub("@", _SPELT_DOT.sub(".", found), count=1)
+        return any(_emails(plain))
     d = _digits(found)
     if kind == "card":
         return 12 <= len(d) <= 19 and luhn(d)
@@ -475,7 +491,7 @@ def find(docs: DataFrame, text: str = "text", mask: bool = False, field: Field |
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *cols], names=[*rest, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), *(f"n_{k} bigint" for k in KINDS), "base string", "spans string", *([f"`{text}` string"] if mask else [])])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied("pii", run), schema)
 
 
 def op4_pii(spark, sf_dir) -> DataFrame:
