@@ -21,15 +21,17 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out, checkpointed, read
+from lodestone.llm.common import checkpointed, held_out, read, tidied
 
 #: Labelled rows that a fit reads, and entries of the lexicon.
 SAMPLE = 20_000
@@ -133,7 +135,10 @@ class Matcher:
                     continue
                 (spared if weight is None else hits).append((begin, end, weight))
         if spared:
-            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in spared)]
+            # the furthest end of the exceptions that begin at or before a hit covers it, or none does
+            spared.sort(key=lambda x: x[0])
+            begins, ends = [x[0] for x in spared], list(accumulate((x[1] for x in spared), max))
+            hits = [h for h in hits if not ((k := bisect_right(begins, h[0])) and ends[k - 1] >= h[1])]
         # overlapping entries of one word count once, by the heaviest
         best: dict[int, tuple[int, int, float]] = {}
         for h in hits:
@@ -179,7 +184,7 @@ def fit(rows: DataFrame, exceptions: tuple[str, ...] = (), terms: int = TERMS) -
     bad, good = total.get(1, 0), total.get(0, 0)
     if not bad:
         return Lexicon({}, exceptions)
-    words = checkpointed(rows.filter("not later").select("text", "y").mapInArrow(_words, "word string, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")))
+    words = checkpointed(rows.filter("not later").select("text", "y").mapInArrow(tidied("toxicity", _words), "word string, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")))
     starts = words.select(F.explode(F.array(*[F.when(F.length("word") > k, F.substring("word", 1, k)) for k in STEMS])).alias("stem"), "bad", "good").filter("stem is not null")
     families = starts.groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     found = words.select(F.col("word").alias("entry"), "bad", "good").unionAll(families.select(F.concat("stem", F.lit("*")), "bad", "good"))
@@ -211,7 +216,7 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
                 label += [y] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(phrase, pa.string()), pa.array(label, pa.int32())], names=["phrase", "y"])
 
-    seen = rows.mapInArrow(run, "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
+    seen = rows.mapInArrow(tidied("toxicity", run), "phrase string, y int").groupBy("phrase").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
     clean = seen.filter((F.col("bad") == 0) & (F.col("n") >= EXCEPTION_TEXTS)).orderBy(F.desc("n"), "phrase").limit(EXCEPTIONS)
     return [r["phrase"] for r in clean.collect()]
 
@@ -225,7 +230,7 @@ def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
             f = [m.features(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in f], pa.float64()), pa.array([x[1] for x in f], pa.float64()), batch.column(1)], names=["mass", "length", "y"])
 
-    data = np.array([(0.0, 0.0, 0.0), *(tuple(r) for r in rows.mapInArrow(run, "mass double, length double, y int").collect())], float)
+    data = np.array([(0.0, 0.0, 0.0), *(tuple(r) for r in rows.mapInArrow(tidied("toxicity", run), "mass double, length double, y int").collect())], float)
     x = np.column_stack([data[:, 0], -data[:, 1], np.ones(len(data))])
     y, w = data[:, 2], np.zeros(3)
     penalty = np.diag([1e-2, 1e-2, 1e-6])
@@ -258,7 +263,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_text: bool
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(s, pa.float64()), pa.array([int(x >= 0.5) for x in s], pa.int32())], names=[*rest, *outs])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, (schema + ", " if rest else "") + "score double, predicted int")
+    return src.mapInArrow(tidied("toxicity", run), (schema + ", " if rest else "") + "score double, predicted int")
 
 
 def op9_toxicity(spark, sf_dir) -> DataFrame:
