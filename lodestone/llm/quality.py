@@ -121,14 +121,18 @@ def _repeats(df: DataFrame, words: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.size(p) > 0, covered).otherwise(F.lit(0).cast("bigint"))).drop("_mask", "_high", "_h", "_s", "_n", "_p")
 
 
+OUTPUTS = ["n_words", "word_chars", "n_symbols", "n_repeat_words", "n_dup_lines", "n_bad_lines", "lost_share", "cleaned_text", "base_failed", "kept"]
+
+
 def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """docs with cleaned_text, lost_share and the base statistics and verdicts.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_bad_lines (long),
     base_failed, kept (boolean), lost_share (double) and cleaned_text (string).
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.withColumn("_t", t)
+    # the caller's columns wait in one struct, so that no helper takes the place of one
+    passed = [c for c in docs.columns if c not in OUTPUTS]
+    df = docs.select(F.struct(*[docs[c] for c in passed]).alias("_row"), F.coalesce(docs[text], F.lit("")).alias("_t"))
     df = df.withColumn("_w", words_of(F.col("_t")))
     df = df.withColumn("n_words", F.size("_w").cast("bigint"))
     df = df.withColumn("word_chars", F.length(F.array_join("_w", "")).cast("bigint"))
@@ -141,12 +145,12 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
     df = df.withColumn("n_bad_lines", F.size("_bad").cast("bigint"))
     lost = F.length(F.array_join(F.flatten(F.transform("_bad", words_of)), ""))
     df = df.withColumn("lost_share", F.when(F.col("word_chars") > 0, lost / F.col("word_chars")).otherwise(F.lit(0.0)))
-    good = F.filter("_lines", lambda x: ~F.array_contains(F.col("_bad"), x))
+    good = F.filter("_lines", lambda x: ~x.rlike(VISIBLE) | _line_ok(rules)(x))
     df = df.withColumn("cleaned_text", F.when(F.size("_bad") == 0, F.col("_t")).otherwise(F.array_join(good, "\n")))
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeat_percent)
     df = df.withColumn("base_failed", failed)
     df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= rules.max_lost_share))
-    return df.drop("_t", "_lines", "_full", "_bad")
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in passed], *OUTPUTS)
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines", "lost_share"]
