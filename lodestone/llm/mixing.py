@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, checkpointed, read
+from lodestone.llm.common import WORD, checkpointed, free, read
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -153,14 +153,16 @@ def apply(docs: DataFrame, **settings) -> DataFrame:
     taken = mix(docs.select("doc_id", "source", "text"), **settings)
     taken = taken.groupBy("doc_id", "source", "text_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
     taken = checkpointed(taken.filter("_copies > 0").toDF("_doc", "_source", "_key", "_copies", "_rows"))
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    same = [keyed._text_key == taken._key, keyed.doc_id.eqNullSafe(taken._doc), keyed.source.eqNullSafe(taken._source)]
+    key, copies, turn = (free(docs.columns, n) for n in ("text_key", "copies", "turn"))
+    taken = taken.withColumnRenamed("_copies", copies)
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    same = [keyed[key].eqNullSafe(taken._key), keyed.doc_id.eqNullSafe(taken._doc), keyed.source.eqNullSafe(taken._source)]
 
     def times(rows: DataFrame, once: bool) -> DataFrame:
         met = keyed.join(rows, same)
-        met = met.select(*[keyed[c] for c in docs.columns], "_copies")
+        met = met.select(*[keyed[c] for c in docs.columns], copies)
         met = met if once else met.dropDuplicates(["doc_id", "source", "text"])
-        return met.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).drop("_k", "_copies")
+        return met.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).drop(turn, copies)
 
     out = times(taken.filter("_rows = 1"), True)
     again = taken.filter("_rows > 1")
