@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lodestone.llm.common import read
+from lodestone.llm.common import holds, read, tidied
 
 MARK = "▁"
 #: Segments kept in the cache of a Python worker, and the longest text of one.
@@ -77,7 +77,8 @@ class Codec:
         self.map = CharMap(spec.precompiled_charsmap) if spec.precompiled_charsmap else None
         self.dummy, self.squeeze, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         self.by_segment = (
-            self.dummy
+            self.map is None
+            and self.dummy
             and not self.squeeze
             and self.escape
             and not proto.trainer_spec.treat_whitespace_as_suffix
@@ -231,6 +232,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+holds("sentencepiece", _codecs.clear)
 
 
 def codec(model_file: str) -> Codec:
@@ -255,7 +257,7 @@ def encode(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists, pa.array([c.decode(r[0]) for r in rows], pa.string())], names=[*part.schema.names, "ids", "begins", "ends", "decoded"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields)
-    return out.mapInArrow(run, schema + ", ids array<int>, begins array<bigint>, ends array<bigint>, decoded string")
+    return out.mapInArrow(tidied("sentencepiece", run), schema + ", ids array<int>, begins array<bigint>, ends array<bigint>, decoded string")
 
 
 def token_ids(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
@@ -274,7 +276,7 @@ def token_ids(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(lens), ids], names=[*rest, "n_tokens", "ids"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1])
-    return src.mapInArrow(run, (schema + ", " if rest else "") + "n_tokens bigint, ids array<int>")
+    return src.mapInArrow(tidied("sentencepiece", run), (schema + ", " if rest else "") + "n_tokens bigint, ids array<int>")
 
 
 def parts(batch: pa.RecordBatch, at: int, chunk: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -311,7 +313,7 @@ def digests(docs: DataFrame, model_file: str, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], n, a, b, s], names=[*rest, "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields if f.name in rest)
-    return src.mapInArrow(run, schema + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return src.mapInArrow(tidied("sentencepiece", run), schema + ", n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
 
 
 def default_model() -> str:
