@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpointed, read
+from lodestone.llm.common import checkpointed, read, tidied
 
 CHUNK = 64
 #: Hosts up to which their numbers of pages are broadcast (a few MB).
@@ -52,6 +52,8 @@ MARKED = frozenset(
     "alert popup modal comment comments commentlist disqus promo promotion sponsor sponsored related recommended share sharing social breadcrumb breadcrumbs "
     "newsletter subscribe subscription signup login pagination pager toolbar widget contentinfo complementary search".split()
 )
+#: Of these, the words that an article uses for parts of its own.
+IN_ARTICLE = frozenset("alert header search toolbar widget banner navigation nav navbar menu".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose end tag is implied by the start of one of the same kind.
@@ -138,7 +140,7 @@ class Page:
             path = f"{above}/{name}{'.' + marks if marks and not any(c.isdigit() for c in marks) else ''}"
             if name in BOILERPLATE or (name == "header" and not any(x in above for x in MAIN)):
                 off = off if HARD in off else (*off, HARD)
-            elif marks and name not in ("html", "body", *MAIN) and not MARKED.isdisjoint(marks.split()) and path not in off:
+            elif marks and name not in ("html", "body", *MAIN) and not (MARKED - IN_ARTICLE if any(x in _named(above) for x in MAIN) else MARKED).isdisjoint(marks.split()) and path not in off:
                 off = (*off, path)
             if name not in INLINE:
                 fresh = True
@@ -381,7 +383,7 @@ def extract(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     # few hosts are broadcast, so that the pages move once; many are joined
     df = df.join(F.broadcast(counts) if counts.count() <= HOSTS else counts, "host").withColumn("block", F.pmod(F.xxhash64("page_id", "url"), F.col("blocks")))
     dealt = df.select("host", "block", "page_id", "url", "html").repartition("host", "block").sortWithinPartitions("host", "block", F.xxhash64("page_id", "url"))
-    return dealt.mapInArrow(_chunks(chunk), "page_id bigint, url string, text string, n_chars bigint")
+    return dealt.mapInArrow(tidied("html", _chunks(chunk)), "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op3_html(spark, sf_dir) -> DataFrame:
