@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestone.llm import license_texts as full
-from lodestone.llm.common import read
+from lodestone.llm.common import read, tidied
 
 THRESHOLD = 0.8
 
@@ -288,7 +288,7 @@ def scan(docs: DataFrame, text: str = "text", templates=TEMPLATES, threshold: fl
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *cols], names=[*rest, *_OUT])
 
-    return src.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), *(f"{k} {v}" for k, v in _OUT.items())]))
+    return src.mapInArrow(tidied("licenses", run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields[:-1]), *(f"{k} {v}" for k, v in _OUT.items())]))
 
 
 def op1_licenses(spark, sf_dir) -> DataFrame:
