@@ -2,10 +2,11 @@
 
 ``media_archive`` is a Python data source. Writing stores payloads as members of ZIP archives
 in a folder, one archive per task, under a name of the attempt; only the archives that the
-driver commits are listed in the folder's manifest, so a lost executor leaves nothing behind
-that is ever read. Reading plans byte ranges over the archives by their sizes alone; a task
-reads its archive's directory, takes the members whose offset falls into its range, and
-streams their payloads in Arrow batches of bounded size. A member that can't be read or
+driver commits are listed in a manifest of the commit, so a lost executor leaves nothing behind
+that is ever read. Reading plans byte ranges over the archives by the manifests alone, which
+also mark where in the directory the entries of each stretch lie; a task reads those of its
+range, takes the members whose offset falls into it, and streams their payloads in Arrow
+batches of bounded size. A member that can't be read or
 whose checksum is wrong is tried again by its own offset, alone and through a newly opened
 file; after ``retries`` the task fails, as results have to be whole.
 
@@ -23,8 +24,10 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import time
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from lodestone.llm.common import fresh_dir, read
+from lodestone.llm.common import fresh_dir, read, tidied
 
 #: Samples of a row, and the multiple that payloads are padded to.
 ROW = 576
@@ -44,6 +47,12 @@ PAD = b"\xff"
 RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 RETRIES = 4
+#: Seconds before the first retry.
+WAIT = 0.05
+#: Begins the name of a commit's list of archives.
+MANIFEST = "_manifest-"
+#: Bytes of members between two marks, which tell where in the directory their entries begin.
+MARK_BYTES = 1 << 20
 LEVEL = 1
 _PNG = b"\x89PNG\r\n\x1a\n"
 
@@ -124,17 +133,19 @@ def local_header(name: bytes, size: int, crc: int) -> bytes:
     return _LOCAL.pack(0x04034B50, 20, 0x800, 0, 0, 0x21, crc, size, size, len(name), 0) + name
 
 
+def entry(m: Member) -> bytes:
+    """A member's entry in the directory."""
+    name, extra = m.name.encode(), b""
+    size, offset = m.size, m.offset
+    if size >= _FULL or offset >= _FULL:
+        extra = struct.pack("<HHQQQ", 1, 24, size, size, offset)
+        size = offset = _FULL
+    return _CENTRAL.pack(0x02014B50, 45, 45, 0x800, 0, 0, 0x21, m.crc, size, size, len(name), len(extra), 0, 0, 0, 0, offset) + name + extra
+
+
 def directory(members: list[Member], at: int) -> bytes:
     """The archive's directory and its end records, to be written at offset at."""
-    out = []
-    for m in members:
-        name, extra = m.name.encode(), b""
-        size, offset = m.size, m.offset
-        if size >= _FULL or offset >= _FULL:
-            extra = struct.pack("<HHQQQ", 1, 24, size, size, offset)
-            size = offset = _FULL
-        out.append(_CENTRAL.pack(0x02014B50, 45, 45, 0x800, 0, 0, 0x21, m.crc, size, size, len(name), len(extra), 0, 0, 0, 0, offset) + name + extra)
-    body = b"".join(out)
+    body = b"".join(map(entry, members))
     end64 = _END64.pack(0x06064B50, 44, 45, 45, 0, 0, len(members), len(members), len(body), at)
     locator = _LOCATOR.pack(0x07064B50, 0, at + len(body), 1)
     few = min(len(members), 0xFFFF)
@@ -151,9 +162,16 @@ def read_directory(f) -> list[Member]:
         raise ValueError("not an archive of this source")
     fields = _END64.unpack_from(tail)
     length, at = fields[8], fields[9]
-    f.seek(at)
-    body, members, i = f.read(length), [], 0
-    while i < length:
+    return entries(f, at, at + length)
+
+
+def entries(f, begin: int, end: int) -> list[Member]:
+    """The members whose entries lie between two offsets of the directory."""
+    f.seek(begin)
+    body, members, i = f.read(end - begin), [], 0
+    if len(body) < end - begin:
+        raise OSError("the directory is cut off")
+    while i < len(body):
         h = _CENTRAL.unpack_from(body, i)
         n, x, c = h[10], h[11], h[12]
         name = body[i + _CENTRAL.size : i + _CENTRAL.size + n].decode()
@@ -187,7 +205,11 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class MediaArchive(DataSource):
-    """Format ``media_archive``. Options: path, range_bytes, batch_bytes, retries."""
+    """Format ``media_archive``. Options: path, range_bytes, batch_bytes, retries, wait (seconds before the first retry, doubled for each).
+
+    Every commit adds a manifest of its own, so appended archives join the earlier ones; a write
+    in mode overwrite removes the manifests before it, and the archives that they list.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -200,7 +222,12 @@ class MediaArchive(DataSource):
         return _Reader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(dict(self.options))
+        return _Writer(dict(self.options), overwrite)
+
+
+def _manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    found = fs.get_file_info(pafs.FileSelector(root))
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST))
 
 
 @dataclass
@@ -208,6 +235,8 @@ class _Range(InputPartition):
     archive: str
     begin: int
     end: int
+    first: int  # where the directory's entries of the range lie, with some of its neighbours
+    last: int
 
 
 @dataclass
@@ -215,6 +244,7 @@ class _Written(WriterCommitMessage):
     archive: str
     members: int
     bytes: int
+    marks: list[tuple[int, int]]
 
 
 class _Reader(DataSourceReader):
@@ -223,13 +253,22 @@ class _Reader(DataSourceReader):
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
         self.batch_bytes = int(options.get("batch_bytes", BATCH_BYTES))
         self.retries = int(options.get("retries", RETRIES))
+        self.wait = float(options.get("wait", WAIT))
 
     def partitions(self) -> list[_Range]:
         fs, root = filesystem(self.path)
-        with fs.open_input_stream(f"{root}/_manifest.json") as f:
-            archives = json.loads(f.read())
-        found = [_Range(a["archive"], b, min(b + self.range_bytes, a["bytes"])) for a in archives for b in range(0, a["bytes"], self.range_bytes)]
-        return found or [_Range("", 0, 0)]
+        archives = []
+        for place in _manifests(fs, root):
+            with fs.open_input_stream(place) as f:
+                archives += json.loads(f.read())
+        found = []
+        for a in archives:
+            offsets, places = zip(*a["marks"], strict=True)
+            # members lie before the directory; a mark at it ends them
+            for b in range(0, offsets[-1], self.range_bytes):
+                e = min(b + self.range_bytes, offsets[-1])
+                found.append(_Range(a["archive"], b, e, places[bisect_right(offsets, b) - 1], places[bisect_left(offsets, e)]))
+        return found or [_Range("", 0, 0, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         if not partition.archive:
@@ -238,7 +277,7 @@ class _Reader(DataSourceReader):
         place = f"{root}/{partition.archive}"
         f = fs.open_input_file(place)
         try:
-            members = [m for m in self._try(lambda g: read_directory(g), f, fs, place) if partition.begin <= m.offset < partition.end]
+            members = [m for m in self._try(lambda g: entries(g, partition.first, partition.last), f, fs, place) if partition.begin <= m.offset < partition.end]
             held: list[tuple[Member, bytes]] = []
             size = 0
             for m in members:
@@ -258,7 +297,8 @@ class _Reader(DataSourceReader):
             return what(f)
         except (OSError, ValueError) as first:
             error = first
-        for _ in range(self.retries):
+        for k in range(self.retries):
+            time.sleep(self.wait * 2**k)
             try:
                 with fs.open_input_file(place) as g:
                     return what(g)
@@ -277,13 +317,14 @@ class _Reader(DataSourceReader):
 class _Writer(DataSourceArrowWriter):
     """Rows (name string, payload binary) become members; the payload is encoded as an image."""
 
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
         archive, members, at = f"part-{uuid.uuid4().hex}.zip", [], 0
+        marks, listed = [(0, 0)], 0
         with fs.open_output_stream(f"{root}/{archive}") as out:
             for batch in iterator:
                 for name, payload in zip(batch.column("name"), batch.column("payload"), strict=True):
@@ -294,16 +335,28 @@ class _Writer(DataSourceArrowWriter):
                     out.write(stored)
                     members.append(m)
                     at += len(head) + len(stored)
+                    listed += len(entry(m))
+                    if at - marks[-1][0] >= MARK_BYTES:
+                        marks.append((at, listed))
             end = directory(members, at)
             out.write(end)
-        return _Written(archive, len(members), at + len(end))
+        if marks[-1][0] < at:
+            marks.append((at, listed))
+        return _Written(archive, len(members), at + len(end), [(offset, at + place) for offset, place in marks])
 
     def commit(self, messages: list[_Written | None]) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        listed = [{"archive": m.archive, "members": m.members, "bytes": m.bytes} for m in messages if m is not None and m.members]
-        with fs.open_output_stream(f"{root}/_manifest.json") as f:
+        listed = [{"archive": m.archive, "members": m.members, "bytes": m.bytes, "marks": m.marks} for m in messages if m is not None and m.members]
+        before = _manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps(listed).encode())
+        for place in before:
+            with fs.open_input_stream(place) as f:
+                old = json.loads(f.read())
+            fs.delete_file(place)
+            for a in old:
+                fs.delete_file(f"{root}/{a['archive']}")
 
     def abort(self, messages: list[_Written | None]) -> None:
         fs, root = filesystem(self.path)
@@ -345,7 +398,7 @@ def described(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["name", *names])
 
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    return members.select("name", "stored").mapInArrow(run, "name string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return members.select("name", "stored").mapInArrow(tidied("media", run), "name string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def op2_media(spark, sf_dir) -> DataFrame:
