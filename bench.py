@@ -7,6 +7,7 @@ import os
 import time
 
 from lodestone import plans
+from lodestone.plans import search
 from lodestone.session import local_session
 
 HEADLINE = ["near_names", "content_duplicates", "exact_names", "snapshot_diff", "grep_many", "bm25_search", "fuzzy_search", "measurement_summary", "pii_mask", "naming_findings", "event_coalesce", "admission"]
@@ -20,6 +21,11 @@ def main() -> None:
     found["find_ext_size"](spark, sf_dir).count()  # starts the session's threads
     took = {}
     for name in HEADLINE:
+        if name == "bm25_search":
+            # the index is kept: what building it costs is told apart from what a query does
+            began = time.perf_counter()
+            search._index(spark, sf_dir)
+            took["bm25_index"] = round(time.perf_counter() - began, 3)
         began = time.perf_counter()
         found[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - began, 3)

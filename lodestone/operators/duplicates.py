@@ -39,6 +39,18 @@ def by_name(files: DataFrame, whole: bool = False) -> DataFrame:
     return groups.filter("n > 1").withColumn("similarity", F.lit(1.0))
 
 
+def hard_links(files: DataFrame) -> DataFrame:
+    """device, inode, path, n: files (path, device, inode, links) that share an inode with others of the inventory."""
+    return _shared(files.filter("links > 1").select("device", "inode", "path"), ["device", "inode"])
+
+
+def content_kinds(members: DataFrame, files: DataFrame) -> DataFrame:
+    """kind of each content group (size, sha256 of content_members()): hard_links if all its files are one inode, else same_content."""
+    rows = members.join(files.select("path", "device", "inode"), "path", "left")
+    one = (F.count_if(F.col("inode").isNull()) == 0) & (F.min(F.struct("device", "inode")) == F.max(F.struct("device", "inode")))
+    return rows.groupBy("size", "sha256").agg(F.count(F.lit(1)).alias("n"), F.when(one, "hard_links").otherwise("same_content").alias("kind"))
+
+
 def partial_hash(content: Column, edge: int = EDGE) -> Column:
     """SHA-256 of the first and, of longer contents, the last edge bytes."""
     data = content.cast("binary")

@@ -1,7 +1,7 @@
 """File inventories as a data source, and file contents through Spark's own reader.
 
 ``file_inventory`` walks a shared folder: one partition per top-level entry, ignored folders
-skipped, symbolic links not followed, failures reported as rows with an issue instead of errors.
+skipped, rules of ignore files kept, symbolic links not followed, failures reported as rows with an issue instead of errors.
 Every executor has to see the folder. Stores that only Spark reads go through contents().
 """
 
@@ -19,16 +19,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lodestone.functions import names
 from lodestone.functions import text as X
+from lodestone.sources.ignore import Rule, ignored, rules_of
 
 #: Folders that a scan leaves out.
 IGNORED = ("node_modules", "venv", ".venv", "__pycache__", "target", ".git")
 SNIFF = 1024
 BATCH = 4096
-SCHEMA = "path string, name string, extension string, size bigint, modified bigint, kind string, is_binary boolean, issue string"
+SCHEMA = "path string, name string, extension string, size bigint, modified bigint, kind string, is_binary boolean, issue string, device bigint, inode bigint, links int"
 
 
 class Inventory(DataSource):
-    """Format ``file_inventory``. Options: path, hidden (false), depth (no limit)."""
+    """Format ``file_inventory``. Options: path, hidden (false), depth (no limit), ignore (true: rules of ignore files hold)."""
 
     @classmethod
     def name(cls) -> str:
@@ -42,7 +43,7 @@ class Inventory(DataSource):
         if not os.path.isdir(root):
             raise ValueError(f"not a folder: {root}")
         depth = self.options.get("depth")
-        return _Walk(root, self.options.get("hidden", "false").lower() == "true", int(depth) if depth else None)
+        return _Walk(root, self.options.get("hidden", "false").lower() == "true", int(depth) if depth else None, self.options.get("ignore", "true").lower() == "true")
 
 
 @dataclass
@@ -51,8 +52,8 @@ class _Entry(InputPartition):
 
 
 class _Walk(DataSourceReader):
-    def __init__(self, root: str, hidden: bool, depth: int | None):
-        self.root, self.hidden, self.depth = root, hidden, depth
+    def __init__(self, root: str, hidden: bool, depth: int | None, ignore: bool):
+        self.root, self.hidden, self.depth, self.ignore = root, hidden, depth, ignore
 
     def partitions(self) -> list[_Entry]:
         return [_Entry(n) for n in sorted(os.listdir(self.root)) if self._wanted(n)] or [_Entry("")]
@@ -62,7 +63,8 @@ class _Walk(DataSourceReader):
 
     def read(self, partition: _Entry) -> Iterator[pa.RecordBatch]:
         rows = []
-        for row in self._visit(partition.name) if partition.name else ():
+        rules = rules_of(self.root, "") if self.ignore else []
+        for row in self._visit(partition.name, rules) if partition.name else ():
             rows.append(row)
             if len(rows) >= BATCH:
                 yield self._batch(rows)
@@ -70,36 +72,40 @@ class _Walk(DataSourceReader):
         if rows:
             yield self._batch(rows)
 
-    def _visit(self, path: str) -> Iterator[tuple]:
+    def _visit(self, path: str, rules: list[Rule]) -> Iterator[tuple]:
         full = os.path.join(self.root, path)
         name = os.path.basename(path)
         try:
             info = os.lstat(full)
             if stat.S_ISLNK(info.st_mode):
                 return
+            if ignored(path, stat.S_ISDIR(info.st_mode), rules):
+                return
             if stat.S_ISDIR(info.st_mode):
+                if self.ignore:
+                    rules = [*rules, *rules_of(full, path + "/")]
                 if self.depth is None or path.count("/") < self.depth:
                     for child in sorted(os.listdir(full)):
                         if self._wanted(child):
-                            yield from self._visit(f"{path}/{child}")
+                            yield from self._visit(f"{path}/{child}", rules)
                 return
             with open(full, "rb") as f:
                 binary = b"\0" in f.read(SNIFF)
             ext = name.rpartition(".")[2].lower() if "." in name[1:] else ""
-            yield (path, name, ext, info.st_size, int(info.st_mtime), "binary" if binary else "file", binary, None)
+            yield (path, name, ext, info.st_size, int(info.st_mtime), "binary" if binary else "file", binary, None, info.st_dev, info.st_ino, info.st_nlink)
         except OSError as e:
-            yield (path, name, None, None, None, None, None, e.strerror or str(e))
+            yield (path, name, None, None, None, None, None, e.strerror or str(e), None, None, None)
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string())
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int32())
         labels = [c.split()[0] for c in SCHEMA.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=labels)
 
 
-def inventory(spark: SparkSession, root: str, hidden: bool = False, depth: int | None = None) -> DataFrame:
+def inventory(spark: SparkSession, root: str, hidden: bool = False, depth: int | None = None, ignore: bool = True) -> DataFrame:
     spark.dataSource.register(Inventory)
-    reader = spark.read.format("file_inventory").option("path", root).option("hidden", str(hidden).lower())
+    reader = spark.read.format("file_inventory").option("path", root).option("hidden", str(hidden).lower()).option("ignore", str(ignore).lower())
     return (reader.option("depth", depth) if depth is not None else reader).load()
 
 

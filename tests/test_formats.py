@@ -144,3 +144,25 @@ def test_mutation_refuses(tmp_path):
     with pytest.raises(ValueError, match="changed"):
         mutation.execute([{"path": "a", "canonical": "c", "sha256": "0" * 64}], str(tmp_path), str(tmp_path / "b"), "delete")
     assert (tmp_path / "a").exists()
+
+
+def test_ignore_files_and_hard_links(spark, tmp_path):
+    import os
+
+    from lodestone.operators import duplicates
+    from lodestone.sources import inventory
+
+    (tmp_path / ".gitignore").write_text("*.log\n!keep.log\n/top.txt\nbuild/\n# note\ndocs/**/draft?.md\n")
+    (tmp_path / "sub" / "build").mkdir(parents=True)
+    (tmp_path / "docs" / "a" / "b").mkdir(parents=True)
+    (tmp_path / "sub" / ".ignore").write_text("local.txt\n!special.log\n[ab]x.txt\n")
+    for name in ("a.log", "keep.log", "top.txt", "sub/top.txt", "sub/build/x.txt", "sub/local.txt", "sub/special.log", "sub/ax.txt", "sub/cx.txt", "docs/draft1.md", "docs/a/b/draft2.md", "docs/final.md"):
+        (tmp_path / name).write_text(name)
+    os.link(tmp_path / "keep.log", tmp_path / "sub" / "linked")
+    got = inventory.inventory(spark, str(tmp_path))
+    assert sorted(r["path"] for r in got.collect()) == ["docs/final.md", "keep.log", "sub/cx.txt", "sub/linked", "sub/special.log", "sub/top.txt"]
+    assert inventory.inventory(spark, str(tmp_path), ignore=False).count() == 13
+    assert sorted((r["path"], r["n"]) for r in duplicates.hard_links(got).collect()) == [("keep.log", 2), ("sub/linked", 2)]
+    content = spark.createDataFrame([("keep.log", b"x"), ("sub/linked", b"x"), ("docs/final.md", b"y"), ("sub/cx.txt", b"y")], "path string, content binary").withColumn("size", F.lit(1))
+    kinds = duplicates.content_kinds(duplicates.content_members(content), got).collect()
+    assert sorted((r["kind"], r["n"]) for r in kinds) == [("hard_links", 2), ("same_content", 2)]
