@@ -7,11 +7,10 @@ has to stand an exact check of its kind (Luhn's sum for cards, parts of addresse
 the driver on the small labelled table below (a second or two) and decoded by Viterbi over
 numpy batches in the workers. Its spans are added where they touch no base span; base ones stay.
 
-A token is plain if it has none of the characters in ``NOT_PLAIN``. Training checks that the
-model prefers "no entity" for a plain token between plain ones by more than any transitions
-can make up for, so such tokens are surely outside and only the islands around other tokens
-are decoded: the result is that of decoding the whole text. Were the check to fail, whole
-texts would be decoded.
+A token is plain if it has none of the characters in ``NOT_PLAIN``. By the model's structure a
+plain token between plain ones, or a text's ends, is outside, so only the islands around other
+tokens are decoded: two tokens on each side of them are such, and the result is that of decoding
+the whole text.
 
 Defined results: a null or empty text has no spans and masks to the empty string; repeated
 rows give equal results; texts of any length are read whole, in time linear in their length.
@@ -157,7 +156,10 @@ one two three four five six seven
 
 NOT_PLAIN = "0-9@+()\\[\\]=_/\\\\\"-"
 _TRIGGER = re.compile(rf"(?<!\S)[^\s{NOT_PLAIN}]*+[{NOT_PLAIN}]\S*")
+_ODD = re.compile(f"[{NOT_PLAIN}]")
 _TOKEN = re.compile(r"\S+")
+#: The emission of every label of a plain token among plain ones but that of what is outside.
+OUTSIDE = -1e9
 _EDGE = ".,;:!?\"'"
 _CHUNK = re.compile(r"[^\W\d_]+|[0-9]+|.", re.S)
 
@@ -193,23 +195,8 @@ class Field:
         self.weights, self.transitions = weights, transitions
         self.by_shape: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         self.by_token: dict[str, str] = {}
-        spread = float(self._finite().max() - self._finite().min())
-        #: Whether plain tokens among plain ones are surely outside, whatever their marks and ends are.
-        self.islands = self._plain_margin() > 2 * spread
-
-    def _plain_margin(self) -> float:
-        """The least by which the emissions of plain tokens favour what is outside, over all marks that were learned."""
-        zero = np.zeros(len(LABELS))
-        marks = {""} | {m for k in self.weights if (m := k.partition(":marks=")[2]) and not re.search(f"[{NOT_PLAIN}]", m)}
-        margin = 0.0
-        for at in ("here", "before", "after"):
-            fixed = self.weights.get(f"{at}:kind=plain", zero) + self.weights.get(f"{at}:digits=0", zero)
-            each = [fixed + self.weights.get(f"{at}:marks={m}", zero) + self.weights.get(f"{at}:end={e}", zero) for m in marks for e in (True, False)]
-            margin += min(float((v[0] - v[1:]).min()) for v in each)
-        return margin
-
-    def _finite(self) -> np.ndarray:
-        return self.transitions[self.transitions > -1e6]
+        #: Only what lies around tokens that aren't plain is decoded; the result is that of the whole text.
+        self.islands = True
 
     def _emissions(self, s: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         got = self.by_shape.get(s)
@@ -233,6 +220,8 @@ class Field:
         out = np.array([k[0] for k in known])
         out[1:] += np.array([k[1] for k in known[:-1]]).reshape(-1, out.shape[1])
         out[:-1] += np.array([k[2] for k in known[1:]]).reshape(-1, out.shape[1])
+        odd = np.array([False, *(_ODD.search(t) is not None for t in tokens), False])
+        out[~(odd[:-2] | odd[1:-1] | odd[2:]), 1:] = OUTSIDE
         return out
 
     def viterbi(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
