@@ -76,19 +76,44 @@ def override_rate(decisions: DataFrame) -> DataFrame:
     return decisions.agg(F.coalesce(F.count_if("overridden") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)).alias("rate"))
 
 
-def aggressiveness(events: DataFrame) -> DataFrame:
-    """key, level: 0.5 moved by each delta of (key, seq, delta) in order, held in 0.1 to 1."""
-    steps = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "delta"))).alias("s"))
-    return steps.select("key", F.aggregate("s", F.lit(0.5), lambda a, x: F.least(F.greatest(a + x.delta, F.lit(0.1)), F.lit(1.0))).alias("level"))
+#: Steps of a key that are folded together before the key's own fold: no row holds more of them.
+CHUNK = 4096
+
+
+def _chunked(events: DataFrame, key: str, *what: str) -> DataFrame:
+    """key, c, e: the steps (seq, what) of each stretch of CHUNK sequence numbers, in order."""
+    c = F.floor(F.col("seq") / CHUNK)
+    return events.groupBy(key, c.alias("c")).agg(F.array_sort(F.collect_list(F.struct("seq", *what))).alias("e"))
+
+
+def aggressiveness(events: DataFrame, low: float = 0.1, high: float = 1.0) -> DataFrame:
+    """key, level: 0.5 moved by each delta of (key, seq, delta) in order, held in low to high.
+
+    A stretch of steps is itself a move held in bounds: x becomes x + s, held in a to b. So
+    stretches are folded apart, and a key's own fold runs over one row for each.
+    """
+    hold = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("a"), F.lit(float("inf")).alias("b"))
+    move = F.aggregate("e", start, lambda m, x: F.struct((m.s + x.delta).alias("s"), hold(m.a + x.delta).alias("a"), hold(m.b + x.delta).alias("b")))
+    moves = _chunked(events, "key", "delta").select("key", F.struct("c", move.alias("m")).alias("m"))
+    steps = moves.groupBy("key").agg(F.array_sort(F.collect_list("m")).alias("s"))
+    return steps.select("key", F.aggregate("s", F.lit(0.5), lambda x, c: F.least(F.greatest(x + c.m.s, c.m.a), c.m.b)).alias("level"))
 
 
 def coalesce_events(events: DataFrame) -> DataFrame:
-    """path, change: what a run of created, modified and deleted of (path, seq, kind) comes to; null runs are dropped."""
-    runs = events.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("e"))
+    """path, change: what a run of created, modified and deleted of (path, seq, kind) comes to; null runs are dropped.
+
+    A stretch of events leads from each state to one, so stretches are folded apart as well.
+    """
+    states = ("", "created", "modified", "deleted")
     step = lambda a, x: (
         F.when(a == "", x.kind)
         .when((a == "created") & (x.kind == "deleted"), "")
         .when((a == "created") & (x.kind == "modified"), "created")
         .otherwise(x.kind)
     )
-    return runs.select("path", F.aggregate("e", F.lit(""), step).alias("change")).filter("change != ''")
+    every = F.array(*[F.lit(s) for s in states])
+    leads = F.aggregate("e", every, lambda to, x: F.transform(to, lambda a: step(a, x)))
+    runs = _chunked(events, "path", "kind").select("path", F.struct("c", leads.alias("to")).alias("m"))
+    runs = runs.groupBy("path").agg(F.array_sort(F.collect_list("m")).alias("s"))
+    return runs.select("path", F.aggregate("s", F.lit(""), lambda a, c: F.element_at(c.to, F.array_position(every, a).cast("int"))).alias("change")).filter("change != ''")

@@ -195,3 +195,25 @@ def test_source_outline(spark):
     code = spark.createDataFrame([("a.py", "import os\ndef go(x):\n  pass\n"), ("b.rs", "use std::fs;\npub async fn run() {}\nstruct S;")], "path string, content string")
     assert sorted((r["path"], r["kind"], r["name"], r["line"]) for r in documents.definitions(code).collect()) == [("a.py", "def", "go", 2), ("b.rs", "fn", "run", 2), ("b.rs", "struct", "S", 3)]
     assert sorted(r["target"] for r in documents.imports(code).collect()) == ["os", "std::fs"]
+
+
+def test_folds_in_stretches(spark, monkeypatch):
+    import random
+
+    from lodestone.operators import admission
+
+    rnd = random.Random(4)
+    steps = [(k, i, rnd.choice([-0.3, -0.15, 0.02, 0.5])) for k in "abc" for i in rnd.sample(range(200), 40)]
+    events = [(k, i, rnd.choice(["created", "modified", "deleted"])) for k, i, _ in steps]
+    want, last = {}, {}
+    for k, _, d in sorted(steps):
+        want[k] = min(max(want.get(k, 0.5) + d, 0.1), 1.0)
+    for k, _, e in sorted(events):
+        a = last.get(k, "")
+        last[k] = e if not a else "" if (a, e) == ("created", "deleted") else "created" if (a, e) == ("created", "modified") else e
+    for size in (1, 7, 4096):
+        monkeypatch.setattr(admission, "CHUNK", size)
+        got = admission.aggressiveness(spark.createDataFrame(steps, "key string, seq bigint, delta double")).collect()
+        assert {r["key"]: round(r["level"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+        got = admission.coalesce_events(spark.createDataFrame(events, "path string, seq bigint, kind string")).collect()
+        assert {r["path"]: r["change"] for r in got} == {k: v for k, v in last.items() if v}
