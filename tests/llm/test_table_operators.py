@@ -7,6 +7,7 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,8 +27,9 @@ def test_png_round_trip():
         media.decode_png(bytes(broken))
 
 
-def test_media_table(spark, docs, odd, none):
-    for rows in (docs.limit(80), odd, none):
+def test_media_table(spark, docs, odd, none, monkeypatch):
+    for marks, rows in ((3_000, docs.limit(80)), (1 << 20, odd), (1 << 20, none)):
+        monkeypatch.setattr(media, "MARK_BYTES", marks)
         path = common.fresh_dir(spark, "media-test")
         media.store(rows, path)
         out = media.described(media.load(spark, path, range_bytes=20_000, batch_bytes=5_000)).collect()
@@ -38,6 +40,43 @@ def test_media_table(spark, docs, odd, none):
         assert sorted(tuple(r)[:5] for r in out) == sorted(want)
 
 
+def test_media_appends_and_overwrites(spark, docs):
+    path = common.fresh_dir(spark, "media-again")
+    media.store(docs.limit(2), path)
+    media.store(docs.limit(2), path)
+    assert media.load(spark, path).count() == 4
+    rows = docs.limit(3).select(F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("payload"))
+    rows.write.format("media_archive").mode("overwrite").option("path", path).save()
+    out = media.described(media.load(spark, path)).collect()
+    want = {str(r["doc_id"]): hashlib.sha256(media.encode_png(r["text"].encode())).hexdigest() for r in docs.limit(3).collect()}
+    assert {r["name"]: r["media_sha256"] for r in out} == want
+    assert len({r["feature"] for r in out}) >= 1
+
+
+def test_feature_by_cells():
+    payload = media.padded(b"abc" * 700)
+    cells = [payload[k * len(payload) // 72 : (k + 1) * len(payload) // 72] for k in range(72)]
+    mean = [sum(c) / len(c) for c in cells]
+    bits = "".join("1" if mean[9 * r + c + 1] > mean[9 * r + c] else "0" for r in range(8) for c in range(8))
+    assert media.feature(payload) == f"{int(bits, 2):016x}"
+
+
+def test_media_ranges_read_their_entries(tmp_path):
+    writer = media._Writer({"path": str(tmp_path)})
+    rows = pa.RecordBatch.from_arrays([pa.array([f"m{i}" for i in range(300)]), pa.array([bytes([i % 256]) * (i * 37 % 900) for i in range(300)], pa.binary())], names=["name", "payload"])
+    for marks in (1, 2_000, 1 << 20):
+        media.MARK_BYTES, before = marks, media.MARK_BYTES
+        writer.overwrite = True
+        writer.commit([writer.write(iter([rows]))])
+        media.MARK_BYTES = before
+        for size in (500, 7_000, 1 << 20):
+            reader = media._Reader({"path": str(tmp_path), "range_bytes": str(size)})
+            got = [n for p in reader.partitions() for b in reader.read(p) for n in b.column(0).to_pylist()]
+            assert got == [f"m{i}" for i in range(300)]
+            spans = [p.last - p.first for p in reader.partitions()]
+            assert marks > 1 or sum(spans) < 3 * sum(len(media.entry(media.Member(f"m{i}", 0, 0, 0))) for i in range(300)) + 100 * len(spans)
+
+
 def test_media_archives_are_zip(spark, docs):
     path = common.fresh_dir(spark, "media-zip")
     media.store(docs.limit(10).coalesce(1), path)
@@ -175,6 +214,13 @@ def test_mix_applied(docs, odd):
         assert got == {k: v for k, v in copies.items() if v}
 
 
+def test_mixing_keeps_clashing_columns(docs):
+    clash = docs.withColumn("_copies", F.lit(7)).withColumn("copies", F.lit(8)).withColumn("_text_key", F.lit("mine")).withColumn("turn", F.lit(9))
+    out = mixing.apply(clash)
+    assert out.columns == clash.columns and out.filter("_copies != 7 or copies != 8 or _text_key != 'mine' or turn != 9").count() == 0
+    assert out.count() == mixing.apply(docs).count()
+
+
 # --- n-gram join ---
 
 
@@ -215,10 +261,17 @@ def made_copies():
         else:
             t = list(rng.choice(vocabulary, int(rng.integers(1, 30))))
         rows.append((i, " ".join(t)))
+    # many copies of another text, each with so many edits of its own that few of them link
+    other = list(rng.choice(vocabulary, 150))
+    for i in range(160, 230):
+        t = list(other)
+        for k in rng.choice(len(t), 1 + i % 5, replace=False):
+            t[int(k)] = f"o{i}{int(k)}"
+        rows.append((i, " ".join(t)))
     return rows + [(300 + k, rows[0][1].upper()) for k in range(30)]
 
 
-@pytest.mark.parametrize("settings", [{}, {"group": 3, "spread": 5}, {"group": 8, "heavy": 16}])
+@pytest.mark.parametrize("settings", [{}, {"group": 3, "spread": 5, "heavy": 40}, {"group": 2, "block": 700}])
 def test_join(spark, settings):
     rows = made_copies()
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
@@ -234,6 +287,34 @@ def test_join_odd(odd, none, spark):
     one = ngram_join.one_of_each(odd.withColumn("row_key", F.lit("clash")))
     assert one.columns == [*odd.columns, "row_key"]
     assert sorted((r["doc_id"] for r in one.collect()), key=str) == sorted([1, 2, 3, 4, 5, 6, 7], key=str)
+    blank = spark.createDataFrame([(1, None), (1, None), (2, ""), (2, " \n"), (None, ""), (4, "a b"), (4, "a b")], "doc_id bigint, text string")
+    assert sorted(map(str, ngram_join.one_of_each(blank).collect())) == sorted(map(str, [*blank.collect()[:5], blank.collect()[5]]))
+
+
+def link(a, b):
+    return 100 * (n := len(np.intersect1d(a, b))) >= 80 * (len(a) + len(b) - n)
+
+
+def test_below_hub_equals_all_pairs():
+    rng = np.random.default_rng(5)
+    fresh = lambda n: rng.integers(0, 2**63, n, dtype=np.uint64)
+    change = lambda s, most: np.unique(np.concatenate([rng.choice(s, len(s) - int(rng.integers(0, min(most, len(s)))), replace=False), fresh(int(rng.integers(0, most)))]))
+    met = 0
+    for _ in range(60):
+        base = np.unique(fresh(int(rng.integers(5, 80))))
+        hub = change(base, 12)
+        sets = [change(base, int(rng.integers(2, 16))) for _ in range(25)]
+        sets += [change(sets[int(rng.integers(25))], 6) for _ in range(15)] + [hub]
+        comp, own = rng.integers(0, 30, len(sets)), rng.integers(0, 2, len(sets))
+        for one, two in ((0, 0), (0, 1)):
+            here = [k for k in range(len(sets)) if own[k] in (one, two)]
+            some = [sets[k] for k in here]
+            got = ngram_join.below_hub(hub, 3, some, comp[here], own[here], one, two)
+            want = {(i, j) for i in range(len(here)) for j in range(i + 1, len(here)) if link(some[i], some[j]) and not (link(some[i], hub) and link(some[j], hub)) and comp[here[i]] != comp[here[j]] and (one == two or own[here[i]] != own[here[j]])}
+            want |= {(i, -1) for i in range(len(here)) if comp[here[i]] != 3 and link(some[i], hub)}
+            assert set(got) == want
+            met += len(want)
+    assert met > 300
 
 
 def test_tree_equals_counting():
@@ -284,8 +365,22 @@ def test_pipeline(spark, sf):
     assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids"] and out.filter("n_tokens != size(ids)").count() == 0
 
 
+def test_pipeline_odd_rows(spark, sf, odd, none):
+    import corpus_pipeline as P
+
+    clash = odd.withColumn("score", F.lit(1)).withColumn("root", F.lit(2)).withColumn("copies", F.lit(3)).withColumn("text_key", F.lit("x"))
+    for docs in (clash, none):
+        n = docs.count()
+        for k, (_, stage) in enumerate(P.STAGES):
+            docs = common.checkpointed(stage(spark, docs, sf))
+            assert docs.columns == (P.COLUMNS if k < 4 else ["doc_id", "lang", "source", "n_tokens", "ids"])
+            # (3, "one two ...") is there three times under two ids, "solo" twice
+            assert docs.count() <= (n, n - 3, n - 3, 2 * (n - 3), 2 * (n - 3))[k] if n else not docs.count()
+        assert not n or docs.filter("n_tokens != size(ids)").count() == 0
+
+
 def test_registered():
-    from lodestone.llm import registry
+    from lodestone.llm import pipeline_query, registry
 
-    names = registry.queries()
+    names = {**registry.queries(), **pipeline_query.QUERIES}
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
