@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import search as S
+from lodestone.session import spread
 
 BUCKETS = 64
 #: Rows of postings in a file, about.
@@ -53,7 +54,7 @@ class Index:
         return self._segment(k, docs, tokens, group) if docs is not None else self._touched(k)
 
     def _segment(self, k: int, docs: DataFrame, tokens: Column, group: str | None) -> Index:
-        named = docs.select("*", (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("_group"))
+        named = spread(docs).select("*", (F.col(group).cast("string") if group else F.lit(None).cast("string")).alias("_group"))
         lengths = named.select("doc", F.col("_group").alias("group"), F.size(tokens).alias("length"), F.lit(k).alias("segment"))
         lengths.write.mode("append").parquet(f"{self.path}/documents")
         rows = S.postings(named, tokens, "_group").withColumnRenamed("_group", "group").withColumn("bucket", _bucket(F.col("term")))

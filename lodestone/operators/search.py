@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators.duplicates import similarity
+from lodestone.session import spread
 
 K1, B = 1.2, 0.75
 SYNONYM_WEIGHT = 0.8
@@ -21,7 +22,7 @@ SYNONYM_WEIGHT = 0.8
 
 def postings(docs: DataFrame, tokens: Column, *more: str) -> DataFrame:
     """doc, more, term, tf, length of docs (doc, more, ...): counted inside each document's sorted terms, without a shuffle."""
-    d = docs.select("doc", *more, F.array_sort(tokens).alias("t")).withColumn("length", F.size("t"))
+    d = docs.select("doc", *more, F.sort_array(tokens).alias("t")).withColumn("length", F.size("t"))
     t = F.col("t")
     d = d.filter("length > 0").withColumn("heads", F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1))))
     heads = F.col("heads")
@@ -38,7 +39,8 @@ def bm25(docs: DataFrame, tokens: Column, query: list[tuple[str, float]]) -> Dat
     terms = sorted({t for t, _ in query})
     t = F.col("t")
     counts = F.array(*[_count(t, w) for w in terms])
-    rows = docs.select("doc", tokens.alias("t")).select("doc", F.size("t").alias("length"), counts.alias("tf"))
+    split = spread(docs).select("doc", tokens.alias("t"))
+    rows = split.select("doc", F.size("t").alias("length"), counts.alias("tf"))
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
     n, mean = stats["n"], stats["mean"] or 1.0
     score = F.lit(0.0)
@@ -46,8 +48,10 @@ def bm25(docs: DataFrame, tokens: Column, query: list[tuple[str, float]]) -> Dat
         weight, df, tf = sum(x for t2, x in query if t2 == w), stats[f"df{i}"], F.col("tf")[i]
         idf = math.log((n - df + 0.5) / (df + 0.5) + 1)
         score = score + weight * idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / mean))
-    hits = rows.filter(F.exists("tf", lambda x: x > 0))
-    return hits.select("doc", score.alias("score")).filter("score > 0")
+    # a filter on counts or scores would be pushed below the projections and split the text anew for each of them
+    hits = split.filter(F.arrays_overlap("t", F.array(*map(F.lit, terms)))).select("doc", F.size("t").alias("length"), counts.alias("tf"))
+    scored = hits.select("doc", score.alias("score"))
+    return scored if all(w > 0 for _, w in query) else scored.filter("score > 0")
 
 
 def _count(tokens: Column, word: str) -> Column:

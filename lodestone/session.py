@@ -39,3 +39,14 @@ def kept_dir(spark: SparkSession, what: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+#: Bytes a core up to which an input is dealt anew: such a table may lie in one row group, which one task reads.
+SMALL = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores; a large one as its files are cut, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
