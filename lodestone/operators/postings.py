@@ -59,11 +59,15 @@ class Index:
         lengths.write.mode("append").parquet(f"{self.path}/documents")
         rows = S.postings(named, tokens, "_group").withColumnRenamed("_group", "group").withColumn("bucket", _bucket(F.col("term")))
         words = self.spark.read.parquet(f"{self.path}/documents").filter(F.col("segment") == k).agg(F.sum("length")).first()[0] or 0
-        files = max(1, math.ceil(words / FILE_ROWS))
+        files = self._files(words)
         dealt = rows.repartitionByRange(files, "bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc")
         dealt.select("term", "doc", "group", "tf", "length", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/postings/segment={k}")
         return self._touched(k)
 
+    def _files(self, words: int) -> int:
+        """Ranges that postings are dealt to: as many as fill files, and enough for all cores; a bucket is in few of them."""
+        return max(math.ceil(words / FILE_ROWS), min(self.spark.sparkContext.defaultParallelism, BUCKETS), 1)
+
     def _touched(self, k: int) -> Index:
         self._stats = None
         return self
@@ -74,7 +78,7 @@ class Index:
         self._documents().select("doc", "group", "length", F.lit(0).alias("segment")).write.parquet(f"{new.path}/documents")
         rows = self._live(self._all_postings()).drop("segment")
         words = new.spark.read.parquet(f"{new.path}/documents").agg(F.sum("length")).first()[0] or 0
-        rows.repartitionByRange(max(1, math.ceil(words / FILE_ROWS)), "bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{new.path}/postings/segment=0")
+        rows.repartitionByRange(self._files(words), "bucket", "term", "doc").sortWithinPartitions("bucket", "term", "doc").write.partitionBy("bucket").parquet(f"{new.path}/postings/segment=0")
         return new
 
     # --- reading ---
