@@ -34,7 +34,10 @@ def _blocks(spark, sf):
     line = table(spark, sf, "lineitem")
     kind = F.when(F.col("l_returnflag") == "A", "table").when(F.col("l_returnflag") == "N", "table_row").otherwise("paragraph")
     pos = (F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("pos")
-    return line.select(F.col("l_orderkey").alias("doc"), pos, kind.alias("type")).dropDuplicates(["doc", "pos"])
+    # of rows that share doc and pos, the first in the table's order counts, in every run
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    rows = line.select(F.col("l_orderkey").alias("doc"), pos, kind.alias("type"), place)
+    return rows.groupBy("doc", "pos").agg(F.min_by("type", "place").alias("type"))
 
 
 def _evaluate(spark, sf):
